@@ -86,7 +86,7 @@ class Forest:
 
     @classmethod
     def of(cls, rows: list) -> "Forest":
-        half = max((len(r["split_tree"]) for r in rows), default=1)
+        half = max(2, *(len(r["split_tree"]) for r in rows))
         pad = lambda a, n: np.pad(a, (0, n - len(a)))
         leaf = np.stack([np.pad(np.array(r["leaf_tree"], float), ((0, 2 * half - len(r["leaf_tree"])), (0, 0))) for r in rows])
         return cls(np.stack([pad(r["var_tree"], half) for r in rows]).astype(np.int32), np.stack([pad(r["split_tree"], half) for r in rows]).astype(np.int32), leaf)
