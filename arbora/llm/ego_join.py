@@ -16,7 +16,7 @@ from arbora.llm.tiles import TILE, Tile, finite, over_pairs, pack
 #: Leading principal dimensions that make the grid.
 LEAD = 8
 #: Vectors the principal axes are fitted on. They set the order only, never a result.
-AXES_SAMPLE = 20_000
+AXES_SAMPLE = 5_000
 #: Rows at which an interval is compared rather than split.
 LEAF = 256
 
@@ -29,7 +29,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 def axes(sample: np.ndarray) -> np.ndarray:
     """Principal axes as columns, the leading first."""
     u = unit(sample)
-    return np.linalg.svd(u - u.mean(axis=0), full_matrices=True)[2].T if len(u) > u.shape[1] else np.eye(u.shape[1])
+    d = u - u.mean(axis=0)
+    return np.linalg.eigh(d.T @ d)[1][:, ::-1]
 
 
 class Joiner:
@@ -116,8 +117,8 @@ def join(vectors: DataFrame, cosine: float = 0.9, tile: int = TILE) -> DataFrame
     links, forest = None, None
     for (dim,) in classes.select(F.size("v")).distinct().collect():
         mine = classes.where(F.size("v") == dim)
-        sample = mine.orderBy(F.xxhash64("id")).limit(AXES_SAMPLE).select("v").toPandas()
-        turn, lead = axes(np.array(sample["v"].tolist(), np.float64)), min(LEAD, dim)
+        sample = mine.orderBy(F.xxhash64("id")).limit(AXES_SAMPLE).select("v").toArrow()
+        turn, lead = axes(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)), min(LEAD, dim)
 
         def cells(batches: Iterator[pa.RecordBatch], turn=turn, lead=lead, dim=dim) -> Iterator[pa.RecordBatch]:
             for batch in batches:
