@@ -100,11 +100,12 @@ def mix(docs: DataFrame, seed: str = "mix:") -> DataFrame:
     """``docs`` (doc_id, source, text and more), each row as often as the mix takes it.
 
     Null sources are one source, the last; null and empty texts have no words and come as often as their rank says; rows
-    of one doc_id share a rank; no rows give no rows; other columns are kept (but names that begin with _).
+    of one doc_id share a rank; no rows give no rows; other columns are kept, whatever their names.
     """
     sizes = save(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    rows = ranked(docs, thresholds(sizes, seed), seed).withColumn("_copies", copies()).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))  # whatever their names
+    rows = ranked(whole, thresholds(sizes, seed), seed).withColumn("_copies", copies()).where("_copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

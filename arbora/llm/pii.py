@@ -161,10 +161,10 @@ def replace(docs: DataFrame, key: str = "arbora") -> DataFrame:
     n = again.count()
     taken = F.lit(None).cast("map<string,int>")
     if n:  # rare: the texts that hold such an entity get a map of attempts
-        hits = docs.select(F.md5("text").alias("_h"), F.explode(F.array_distinct(found(F.col("text")))).alias("e")).distinct().withColumn("kind", kind(F.col("e")))
+        hits = docs.select(F.md5("text").alias("__pii_h"), F.explode(F.array_distinct(found(F.col("text")))).alias("e")).distinct().withColumn("kind", kind(F.col("e")))
         hits = join_small(hits.withColumn("norm", norm(F.col("e"), F.col("kind"))), again, ["kind", "norm"], n)
-        hits = save(hits.groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("_again")), "attempts")
-        docs, taken = join_small(docs.withColumn("_h", F.md5("text")), hits, ["_h"], hits.count(), "left").drop("_h"), F.col("_again")
+        hits = save(hits.groupBy("__pii_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("__pii_again")), "attempts")
+        docs, taken = join_small(docs.withColumn("__pii_h", F.md5("text")), hits, ["__pii_h"], hits.count(), "left").drop("__pii_h"), F.col("__pii_again")
 
     def attempt(x: Column) -> Column:
         return F.coalesce(F.element_at(taken, F.concat_ws("|", x.t, x.n)), F.lit(0)) if n else F.lit(0)
@@ -174,12 +174,12 @@ def replace(docs: DataFrame, key: str = "arbora") -> DataFrame:
     e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), norm(x.e, x.t).alias("n")))
     e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), digest(x.t, x.n, attempt(x), key).alias("h")))
     e = F.transform(e, lambda x: F.struct(surrogate(x.e, x.t, x.h, key).alias("to"), x.t.isNotNull().alias("is")))
-    out = docs.withColumn("_new", e).withColumn("_parts", F.when(F.size("_new") > 0, F.split("text", ANY, -1)))
-    pairs = F.transform(F.arrays_zip(F.slice("_parts", 1, F.size("_new")), "_new"), lambda x: F.concat(x["0"], x["_new"]["to"]))
-    whole = F.concat(F.array_join(pairs, ""), F.element_at("_parts", -1))
-    out = out.withColumn("n_replaced", F.size(F.filter("_new", lambda x: x["is"])).cast("long"))
-    out = out.withColumn("text", F.when(F.size("_new") > 0, whole).otherwise(F.col("text")))
-    return out.select(*[c for c in docs.columns if c != "_again"], "n_replaced")
+    out = docs.withColumn("__pii_new", e).withColumn("__pii_parts", F.when(F.size("__pii_new") > 0, F.split("text", ANY, -1)))
+    pairs = F.transform(F.arrays_zip(F.slice("__pii_parts", 1, F.size("__pii_new")), "__pii_new"), lambda x: F.concat(x["0"], x["__pii_new"]["to"]))
+    whole = F.concat(F.array_join(pairs, ""), F.element_at("__pii_parts", -1))
+    out = out.withColumn("n_replaced", F.size(F.filter("__pii_new", lambda x: x["is"])).cast("long"))
+    out = out.withColumn("text", F.when(F.size("__pii_new") > 0, whole).otherwise(F.col("text")))
+    return out.select(*[c for c in docs.columns if c != "__pii_again"], "n_replaced")
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

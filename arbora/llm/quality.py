@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import table
+from arbora.llm.common import small_batches, table
 
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 6, 2, 48, 16
 HALF = 128
@@ -23,7 +23,7 @@ CHUNK = 2 * HALF
 #: Labelled documents a model learns from at most, of each label: those of the smallest hashes.
 TRAIN_ROWS = 1500
 #: Bytes that a scoring pass holds expanded at a time.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
 STEPS, BATCH, SEED = 500, 192, 5
 Weights = dict[str, np.ndarray]
 
@@ -59,17 +59,16 @@ def pooled(p: Weights, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     whole = [padded(t) for t in texts]
     raw = np.concatenate([*whole, np.zeros(WIDTH, np.uint8)])
     starts = np.cumsum([0, *(len(x) // HALF for x in whole)])
-    end = np.concatenate([np.full(len(x), a * HALF + len(t)) for x, t, a in zip(whole, texts, starts[:-1], strict=True)])
     out = np.zeros((starts[-1], FILTERS + 1), np.float32)
-    at = np.arange(0, len(raw) - WIDTH, STRIDE)
-    inside = at + WIDTH <= np.maximum(end[at], 0)
+    inside = np.ones((len(raw) - WIDTH) // STRIDE, bool)  # windows that lie in one text
+    for t, a, b in zip(texts, starts[:-1] * HALF, starts[1:] * HALF, strict=True):
+        inside[(a + max(0, len(t) - WIDTH + 1) + STRIDE - 1) // STRIDE : b // STRIDE] = False
+        out[a // HALF : b // HALF, FILTERS] = np.clip(len(t) - np.arange(0, b - a, HALF), 0, HALF) / HALF
     for a in range(0, len(raw) - WIDTH, SEGMENT):
         b = min(a + SEGMENT, len(raw) - WIDTH)
         r = np.maximum(responses(p, raw[a : b + WIDTH])[: (b - a) // STRIDE] + p["b"], 0)
         r[~inside[a // STRIDE : b // STRIDE]] = 0
         out[a // HALF : b // HALF, :FILTERS] = r.reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
-    halves = np.arange(starts[-1]) * HALF
-    out[:, FILTERS] = np.clip(end[halves] - halves, 0, HALF) / HALF
     return out, starts
 
 
@@ -119,7 +118,7 @@ def train(texts: list[bytes], good: np.ndarray) -> Weights:
     worst: np.ndarray | None = None
     for step in range(STEPS if len(texts) and all(map(len, by)) else 0):
         if step in (STEPS // 2, 3 * STEPS // 4):  # chunks of good texts that look bad teach most
-            worst = np.array([int(z.argmax()) for t in range(0, len(texts), 256) for z in logits(p, texts[t : t + 256])])
+            worst = np.array([int(z.argmax()) for t in range(0, len(texts), 32) for z in logits(p, texts[t : t + 32])])
         pick = np.concatenate([rng.choice(by[1], BATCH // 3), rng.choice(by[0], BATCH - BATCH // 3)])
         at = np.array([rng.integers(0, max(1, -(-len(texts[i]) // HALF) - 1)) for i in pick]) * HALF
         if worst is not None:
@@ -135,7 +134,7 @@ def train(texts: list[bytes], good: np.ndarray) -> Weights:
             a += 0.1 * (x - a)
             b += 0.01 * (x * x - b)
             p[k] -= rate * (a / (1 - 0.9 ** (step + 1))) / (np.sqrt(b / (1 - 0.99 ** (step + 1))) + 1e-8)
-    x = np.array([features(z) for t in range(0, len(texts), 256) for z in logits(p, texts[t : t + 256])]).reshape(-1, 3)
+    x = np.array([features(z) for t in range(0, len(texts), 32) for z in logits(p, texts[t : t + 32])]).reshape(-1, 3)
     return p | combine(x, good)
 
 
@@ -172,19 +171,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Weights:
     return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["quality"].to_numpy(np.float64))
 
 
-def score(docs: DataFrame, model: Weights) -> DataFrame:
+def score(docs: DataFrame, model: Weights, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability that the label is 1, from the whole text alone.
 
     Null texts count as empty, and those get the score of a text without bytes. Rows are scored one by one, so that
     repeated ones agree; a former score column is replaced; other columns are kept.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("score") if "score" in docs.columns else docs
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 64):
-                batch = whole.slice(k, 64)
+            for k in range(0, whole.num_rows, 32):
+                batch = whole.slice(k, 32)
                 texts = [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probability(model, texts))], [*batch.schema.names, "score"])
 

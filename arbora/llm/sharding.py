@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,12 +46,13 @@ def plan(counts: list[int], owner: list[int], shards: int) -> list[tuple[int, in
         if k < n:
             over.append((cell, k, n - k))
     for cell, at, n in over:
-        c = cell
-        while n:
-            c = (c + 1) % cells
-            k = min(n, room[owner[c]])
-            put(cell, at, k, owner[c])
+        around = (owner[(cell + d) % cells] for d in range(1, cells))
+        for to in chain(around, range(shards)):  # at last, to shards whose nodes others hide
+            k = min(n, room[to])
+            put(cell, at, k, to)
             at, n = at + k, n - k
+            if not n:
+                break
     return out
 
 

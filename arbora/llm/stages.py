@@ -13,7 +13,9 @@ from arbora.llm.tokens import word_bpe
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from these documents' labels, does not reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= 0.7).select(*docs.columns)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # whatever the columns' names
+    good = quality.score(plain, model, f"c{docs.columns.index('text')}").where(F.col("score") >= 0.7)
+    return good.drop("score").toDF(*docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
