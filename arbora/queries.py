@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from arbora.functions.special import ndtr, ndtr_sql
 from arbora.operators import binning, calibrate, checks, leaves, trees
 from arbora.operators.encode import Encoder
+from arbora.plans import prior
 from arbora.plans.estimator import Bart, Sparse, effective_predictors
+from arbora.sources import rtext, synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -436,6 +438,37 @@ def train_test_split(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") < 100, "train").otherwise("test").alias("split"))
 
 
+TEXT = "2 1 2\n3\n1 0 24 0\n2 0 0 1.5\n3 0 0 -2.5\n1\n1 0 0 0.25\n"
+
+
+@query("SELECT sample, node, var, split, CAST(leaf AS DOUBLE) AS leaf FROM (VALUES (0, 1, 0, 25, 0), (0, 2, -1, 0, 1.5), (0, 3, -1, 0, -2.5), (1, 1, -1, 0, 0.25)) AS x(sample, node, var, split, leaf)")
+def r_text_trees_import(spark, sf_dir):
+    return trees.nodes(rtext.to_trace(spark, TEXT)[1]).select("sample", "node", F.coalesce("var", F.lit(-1)).alias("var"), "split", F.coalesce(F.col("leaf")[0], F.lit(0.0)).alias("leaf"))
+
+
+@query("WITH q AS (SELECT CAST(d AS INT) AS depth, CASE WHEN d = 5 THEN 0.0 ELSE 0.95 / pow(1 + d, 2) END::DOUBLE AS p FROM range(6) AS r(d)) SELECT a.depth, round(ln(a.p / (1 - a.p)) + 2 * ln(1 - b.p), 6) AS log_odds FROM q a JOIN q b ON b.depth = a.depth + 1")
+def log_prior_ratio(spark, sf_dir):
+    q = calibrate.p_nonterminal(6)
+    d = spark.createDataFrame(list(zip(range(5), q[:-1], q[1:], strict=True)), "depth int, p double, below double")
+    return d.select("depth", r6(F.log(F.col("p") / (1 - F.col("p"))) + 2 * F.log(1 - F.col("below"))).alias("log_odds"))
+
+
+@query("SELECT CAST(p AS INT) AS p, round(0.25 * (2 + (1.0 * 1.8 * 2.5 - 3) / p), 6) AS variance FROM range(2, 12) AS r(p)")
+def het_var_closed_form(spark, sf_dir):
+    v = [(p, round(synth.Params(p=p, q=0, sigma2_lin=1, sigma2_quad=0, sigma2_eps=1, het_strength=0.5, het_shape="scalar", scale=synth.Scale("gamma", 2.5)).het_variance, 6)) for p in range(2, 12)]
+    return spark.createDataFrame(v, "p int, variance double")
+
+
+@query()
+def prior_depths(spark, sf_dir):
+    return trees.depth_distr(prior.sample_prior(spark, 200, 20, [20, 20, 3], calibrate.p_nonterminal(6), [1.0], rho=3.0, a=0.5, b=1.0, seed=1))
+
+
+@query()
+def synthetic_rows(spark, sf_dir):
+    return synth.Params(p=6, q=2, sigma2_lin=1, sigma2_quad=1, sigma2_eps=1, seed=2).generate(spark, 5000).select("row_id", F.col("y")[0].alias("y"), F.col("mu")[0].alias("mu"))
+
+
 # fits: random, hence rows only here; tests hold them to laws and to each other
 
 FIT = {"num_trees": 10, "n_burn": 15, "n_save": 10, "num_chains": 2, "seed": 3}

@@ -195,6 +195,18 @@ def test_few_rows(data, rows):
     m.check()
 
 
+@pytest.mark.parametrize("engine", ["local", "gram"])
+def test_extension_is_exact(data, engine):
+    kw = SMALL | {"num_trees": 4, "n_burn": 3}
+    a = Bart(data, X, "y", engine=engine, **kw | {"n_save": 5})
+    b = Bart(data, X, "y", engine=engine, **kw | {"n_save": 2}).extend(3)
+    assert b.ndpost == 10 and tables(a)[0] == tables(b)[0] and all((x == y).all() or np.allclose(x, y, atol=1e-9) for x, y in zip(tables(a)[1], tables(b)[1]))
+    assert b.goes_bad().where("goes_bad").count() == 0 and b.points_per_leaf().count() and b.depth_distr().count() and b.mean_leaves().count() == 10
+    assert b.format_tree(0, 4, 0).startswith("1: ") and b.states()[0].steps == 8
+    with pytest.raises(IndexError):
+        b.format_tree(9, 0, 0)
+
+
 def test_constant_response_and_predictor(data):
     d = data.withColumn("y", F.lit(3.0)).withColumn("c", F.lit(1.0))
     m = Bart(d, X, "y", **SMALL)
