@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import BROADCAST_ROWS, running_base, save, table
-from arbora.llm.tokens import END_BYTES, encoder, word_bpe
+from arbora.llm.common import BROADCAST_ROWS, running_base, save, small_batches, table
+from arbora.llm.tokens import encoder, slices, word_bpe
 
 WINDOW = 2048
 #: Sources beyond so many share queues, by hash.
@@ -88,15 +88,14 @@ def tokenized(docs: DataFrame, vocabulary: str, queues: int | None) -> DataFrame
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(vocabulary), TaskContext.get().partitionId(), {}
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                ids = [enc.text(t) + END_BYTES for t in batch.column(3).to_pylist()]
+            for batch in slices(whole, 3):
+                flat, ends = enc.documents(batch.column(3))
+                ids = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 where = []
                 for q, x in zip(batch.column(2).to_pylist(), ids, strict=True):
                     where.append(at.get(q, 0))
                     at[q] = where[-1] + len(x) // 4
-                n = [len(x) // 4 for x in ids]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([part] * len(ids), pa.int32()), pa.array(where, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "queue", "part", "at", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([part] * len(ids), pa.int32()), pa.array(where, pa.int64()), pa.array(np.diff(ends)), pa.array(ids, pa.binary())], ["doc_id", "source", "queue", "part", "at", "n", "ids"])
 
     queue = F.col("source") if queues is None else F.pmod(F.hash("source"), F.lit(queues)).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(queue.cast("string"), F.lit("\U0010ffff")).alias("queue"), "text")
@@ -111,7 +110,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, targets: dict[s
     Null and empty texts are their end id; null sources are a queue of their own, after the others; repeated rows are
     packed as often as they stand; no rows give no rows; further columns are not read.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession, 4000)
     queues = None
     if docs.select("source").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
         queues = MOST_QUEUES

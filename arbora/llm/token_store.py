@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import join_small, running_base, shared_dir, shuffle_partitions, table
-from arbora.llm.tokens import END_BYTES, encoder, word_bpe
+from arbora.llm.common import join_small, running_base, shared_dir, shuffle_partitions, small_batches, table
+from arbora.llm.tokens import encoder, slices, word_bpe
 
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, token_ids array<int>"
 
@@ -25,17 +25,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, shards: int | None
     text's hash, so repeated rows are all kept. Other columns are not read. The shuffle moves texts once.
     """
     spark = docs.sparkSession
+    small_batches(spark, 4000)
     shards = shards or shuffle_partitions(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):  # bounds what is held beside the batch
-                part = batch.slice(k, 512)
-                ids = [np.frombuffer(enc.text(t) + END_BYTES, "<i4") for t in part.column(1).to_pylist()]
-                n = np.array([len(x) for x in ids], np.int64)
-                ends = np.cumsum(n)
-                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids)))
+            for part in slices(batch, 1):
+                flat, ends = enc.documents(part.column(1))
+                n, ends = np.diff(ends), ends[1:]
+                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(at + ends - n), pa.array(n), values], ["doc_id", "shard", "local_start", "n_tokens", "token_ids"])
                 at += int(ends[-1])
 

@@ -2,45 +2,129 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The id after each document.
 END = 1
-#: White space of str.split() that is none for the tokenizer.
-_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Rare white space, which libraries tell apart, and letters whose lower case is odd: such texts are encoded whole.
+_ODD = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeffΣİ]"
+#: Two marks side by side, which may be one token.
+_RUN = r"[^\p{L}\p{N}\s]{2}"
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 12 << 20
+#: ASCII marks, which the tokenizer always parts from letters before them.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _loaded: dict[str, "Encoder"] = {}
 
 
-class Encoder(dict):
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's tokenizer drops white space and merges within words only, so the ids of a text are those of its
-    words, one after the other. As a dict it keeps the bytes of short words; it is emptied at ``most`` words.
+    The vocabulary's tokenizer drops white space and case and merges within runs of letters only, so the ids of a text are
+    those of its words, one after the other, and those of "Word." are those of "word" and of ".". The ids of words are kept
+    in two generations of at most ``most`` words: a full one becomes the old one, and words in use move back.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
-        if len(word) <= 48:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in _CONTROLS):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def letters(self, words: list[str]) -> None:
+        """Encodes words of letters as one string; each ends with the only id of a word's end that it has."""
+        for k in range(0, len(words), 5000):
+            part = words[k : k + 5000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.now.update((w, raw[a:b]) for w, a, b in zip(part, at[:-1], at[1:], strict=True))
+            else:
+                self.now.update((w, self.whole(w)) for w in part)
+
+    def know(self, words: set[str]) -> None:
+        """Puts all the words into ``now``."""
+        now, old, plain, rest, parts = self.now, self.old, set(), set(), []
+        for w in words.difference(now):
+            if w in old:
+                now[w] = old[w]
+                continue
+            base = w.rstrip(_MARKS)
+            if base.isalpha():
+                plain.add(base)
+                if base is not w:
+                    parts.append((w, base, w[len(base) :]))
+            else:
+                rest.add(w)
+        rest.update(m for _, _, m in parts if m)
+        for group in (plain, rest):
+            for w in group.intersection(old):
+                now[w] = old[w]
+        self.letters(sorted(plain.difference(now)))
+        for w in rest.difference(now):
+            now[w] = self.whole(w)
+        now[""] = b""
+        for w, base, marks in parts:
+            now[w] = now[base] + now[marks]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each start (and the last end). Nulls are empty.
+
+        All that is done for each word is done in Arrow and numpy; Python sees each different word of the batch once.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        low = pc.utf8_lower(texts)
+        spaced = pc.replace_substring(pc.replace_substring(low, ",", " , "), ".", " . ")
+        low = pc.if_else(odd, "", pc.if_else(pc.match_substring_regex(low, _RUN), low, spaced))
+        words = pc.utf8_split_whitespace(low)
+        coded = words.flatten().dictionary_encode()
+        unique, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.now) > self.most:
+            self.old, self.now = self.now, {}
+        self.know(set(unique))
+        parts = list(map(self.now.__getitem__, unique))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(size) - size
+        each = size[index]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat = np.frombuffer(b"".join(parts), "<u4")[np.repeat(first[index] - ends[:-1], each) + np.arange(ends[-1])]
+        at = ends[words.offsets.to_numpy()]
+        if pc.any(odd).as_py():
+            have = [self.whole(t.as_py()) if o else flat[a:b].tobytes() for t, o, a, b in zip(texts, odd.to_pylist(), at[:-1], at[1:], strict=True)]
+            flat, at = np.frombuffer(b"".join(have), "<u4"), np.cumsum([0, *(len(x) // 4 for x in have)])
+        return flat, at
+
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` with END after each text."""
+        flat, at = self.ids(texts)
+        return np.insert(flat, at[1:], np.uint32(END)), at + np.arange(len(at))
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        flat, at = self.ids(pa.array(texts, pa.string()))
+        return [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some SLICE_BYTES of text each, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE_BYTES)))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def encoder(path: str) -> Encoder:
@@ -54,6 +138,3 @@ def word_bpe() -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path("word_bpe_49k.json"))
-
-
-END_BYTES = np.asarray([END], dtype="<u4").tobytes()
