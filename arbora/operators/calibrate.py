@@ -33,6 +33,26 @@ def leaf_precision(df: DataFrame, y: str, trees: int, k: float = 2.0, binary: bo
     return math.inf if tau == 0 else (k * math.sqrt(trees) / tau) ** 2
 
 
+def summary(df: DataFrame, ys: list[str]) -> list[dict]:
+    """Of each response n, mean, share of non-zero values, half range and population variance, all in one pass."""
+    d = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"y{j}") for j, c in enumerate(ys)])
+    row = d.agg(*[f.alias(f"{n}{j}") for j in range(len(ys)) for n, f in (
+        ("n", F.count(f"y{j}")), ("mean", F.avg(f"y{j}")), ("share", F.avg((F.col(f"y{j}") != 0).cast("double"))), ("tau", (F.max(f"y{j}") - F.min(f"y{j}")) / 2), ("variance", F.var_pop(f"y{j}")),
+    )]).first()
+    return [{k: row[f"{k}{j}"] for k in ("n", "mean", "share", "tau", "variance")} for j in range(len(ys))]
+
+
+def offset_of(s: dict, binary: bool) -> float:
+    if not s["n"]:
+        return 0.0
+    return norm_ppf(max(1 / (s["n"] + 1), min(s["n"] / (s["n"] + 1), s["share"]))) if binary else s["mean"]
+
+
+def precision_of(s: dict, trees: int, k: float, binary: bool) -> float:
+    tau = 3.0 if binary else s["tau"] if s["n"] >= 2 else 1.0
+    return math.inf if tau == 0 else (k * math.sqrt(trees) / tau) ** 2
+
+
 def response_variance(df: DataFrame, y: str, scale: str | None = None) -> DataFrame:
     """(n, mean, variance): of the population; with error scales s, of weights 1 / s^2: sum(w (y - mean)^2) / n."""
     d = df.where(F.col(y).isNotNull()).select(F.col(y).cast("double").alias("y"), (1 / (F.col(scale) * F.col(scale)) if scale else F.lit(1.0)).alias("w"))
