@@ -100,16 +100,25 @@ class Forest:
             at = np.where(s > 0, 2 * at + (xb[rows, self.var[t].take(at, mode="clip")] >= s), at)
         return at
 
+    def values(self, columns: list[np.ndarray], t: int, k: int) -> np.ndarray | float:
+        """Component k of tree t at the rows of ``columns``: one comparison and one choice for each rule of the tree."""
+        var, split, leaf = self.var[t].tolist(), self.split[t].tolist(), self.leaf[t, :, k].tolist()
+
+        def at(i: int) -> np.ndarray | float:
+            s = split[i] if i < len(split) else 0
+            return np.where(columns[var[i]] >= s, at(2 * i + 1), at(2 * i)) if s else leaf[i]
+
+        return at(1)
+
     def sums(self, xb: np.ndarray, groups: int) -> np.ndarray:
         """(groups, n, k): sums over consecutive groups of trees."""
         m, k = len(self.var), self.leaf.shape[2]
-        out = np.zeros((groups, len(xb), k))
+        columns = [np.ascontiguousarray(c, np.int32) for c in xb.T]
+        out = np.zeros((groups, k, len(xb)))
         for t in range(m):
-            if self.split[t, 1] == 0:  # a stump
-                out[t * groups // m] += self.leaf[t, 1]
-            else:
-                out[t * groups // m] += self.leaf[t].take(self.leaves(xb, t), axis=0)
-        return out
+            for j in range(k):
+                out[t * groups // m, j] += self.values(columns, t, j)
+        return np.swapaxes(out, 1, 2)
 
 
 def latent(rows: DataFrame, keys: list[str], trace: DataFrame, offset: list[float], xb: str = "xb", mean: bool = False) -> DataFrame:
@@ -137,11 +146,11 @@ def latent(rows: DataFrame, keys: list[str], trace: DataFrame, offset: list[floa
                 for a in range(0, whole.num_rows, 2048):
                     batch = whole.slice(a, 2048)
                     x = batch.column(len(keys))
-                    z = f.sums(np.asarray(x.flatten()).reshape(len(x), -1), len(part)) + np.array(offset)
+                    z = f.sums(np.asarray(x.flatten()).reshape(len(x), -1), 1 if mean else len(part)) / (len(part) if mean else 1) + np.array(offset)
                     n, k = len(x), z.shape[2]
                     own = [batch.column(i) for i in range(len(keys))]
                     if mean:
-                        z, cols = z.mean(axis=0)[None], [pa.array(np.full(n, len(part), np.int32))]
+                        cols = [pa.array(np.full(n, len(part), np.int32))]
                     else:
                         take = pa.array(np.tile(np.arange(n), len(part)))
                         own, cols = [o.take(take) for o in own], [pa.array(np.repeat(c[:, i], n)) for i in (0, 1)]

@@ -6,6 +6,7 @@ import json
 import os
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 
@@ -40,9 +41,9 @@ def main() -> None:
     rows = b.transform(d).select(F.monotonically_increasing_id().alias("row_id"), "xb", F.array(F.col("l_extendedprice") / 1e4).alias("y"), F.array(F.lit(1.0)).alias("d")).repartition(int(cpus)).cache()
     n = rows.count()
     model = Model(max_split=b.max_split, offset=[3.8], leaf_prec=[[50.0]], binary=[False], trees=50, prec_df=3.0, prec_rate=[[3.0]])
-    run_gram(rows, [State(model, 0, n)], Loop(2, 1), [float(n)])
-    timed("gram_iteration_1_chain_50_trees", lambda: run_gram(rows, [State(model, 0, n)], Loop(4, 6), [float(n)]), 10)
-    timed("gram_iteration_4_chains_50_trees", lambda: run_gram(rows, [State(model, c, n) for c in range(4)], Loop(1, 3), [float(n)]), 4)
+    run_gram(rows, [State(model, 0, n)], Loop(2, 1), np.array([float(n)]))
+    timed("gram_iteration_1_chain_50_trees", lambda: run_gram(rows, [State(model, 0, n)], Loop(4, 6), np.array([float(n)])), 10)
+    timed("gram_iteration_4_chains_50_trees", lambda: run_gram(rows, [State(model, c, n) for c in range(4)], Loop(1, 3), np.array([float(n)])), 4)
     m = timed("fit_local_4_chains_50_trees_100_iterations", lambda: Bart(q._orders(spark, sf_dir).limit(10_000), q.X, "y", row_id="o_orderkey", binner=q.even, num_trees=50, n_burn=50, n_save=50, num_chains=4))
     scored = b.transform(d).select("l_orderkey", "xb")
     timed("score_mean_200_samples_50_trees", lambda: trees.latent(scored, ["l_orderkey"], m.trace, m.model.offset, mean=True).write.format("noop").mode("overwrite").save())
