@@ -25,7 +25,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, shards: int | None
     text's hash, so repeated rows are all kept. Other columns are not read. The shuffle moves texts once.
     """
     spark = docs.sparkSession
-    small_batches(spark, 4000)
+    small_batches(spark)
     shards = shards or shuffle_partitions(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ _ODD = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u30
 #: Two marks side by side, which may be one token.
 _RUN = r"[^\p{L}\p{N}\s]{2}"
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 #: ASCII marks, which the tokenizer always parts from letters before them.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _loaded: dict[str, "Encoder"] = {}
@@ -29,7 +29,7 @@ class Encoder:
     in two generations of at most ``most`` words: a full one becomes the old one, and words in use move back.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -96,12 +96,12 @@ class Encoder:
             self.old, self.now = self.now, {}
         self.know(set(unique))
         parts = list(map(self.now.__getitem__, unique))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        first = np.cumsum(size) - size
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
         each = size[index]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        flat = np.frombuffer(b"".join(parts), "<u4")[np.repeat(first[index] - ends[:-1], each) + np.arange(ends[-1])]
-        at = ends[words.offsets.to_numpy()]
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])
+        flat = np.frombuffer(b"".join(parts), "<u4")[np.repeat(first[index] - ends[:-1], each) + np.arange(ends[-1], dtype=np.int32)]
+        at = ends[words.offsets.to_numpy()].astype(np.int64)
         if pc.any(odd).as_py():
             have = [self.whole(t.as_py()) if o else flat[a:b].tobytes() for t, o, a, b in zip(texts, odd.to_pylist(), at[:-1], at[1:], strict=True)]
             flat, at = np.frombuffer(b"".join(have), "<u4"), np.cumsum([0, *(len(x) // 4 for x in have)])
@@ -117,20 +117,21 @@ class Encoder:
         return [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with some SLICE_BYTES of text each, or one row."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some ``most`` bytes of text each, or one row."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE_BYTES)))
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most)))
         yield batch.slice(a, b - a)
         a = b
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 350_000) -> Encoder:
     """One for each Python worker."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path)
+        _loaded[path] = Encoder(path, most)
+    _loaded[path].most = most
     return _loaded[path]
 
 
