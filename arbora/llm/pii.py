@@ -18,8 +18,8 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = [
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62}))+",
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    r"(?<=(?:password|passwd|pwd|secret|api_key|apikey|access_key|token)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_\-]{8,}",
-    r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    r"(?<=(?i:password|passwd|pwd|secret|api_key|apikey|access_key|token)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_\-]{8,}",
+    r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])",
     rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
     r"(?<![\w.+])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
@@ -62,7 +62,7 @@ def kind(e: Column) -> Column:
 
 def norm(e: Column, t: Column) -> Column:
     """What two mentions of one entity share: digits, whatever their separators; letters, whatever their case."""
-    return F.when(t.isin("phone", "card", "id"), digits(e)).when(t == "email", F.lower(e)).when(t == "iban", F.regexp_replace(e, " ", "")).when(t == "name", F.regexp_replace(e, rf"^{TITLE}", "")).otherwise(e)
+    return F.when(t.isin("phone", "card", "id"), digits(e)).when(t == "email", F.lower(e)).when(t == "iban", F.regexp_replace(e, " ", "")).when(t == "name", F.regexp_replace(e, rf"^{TITLE}", "")).when(e.rlike("^[0-9a-fA-F]{32,128}$"), F.lower(e)).otherwise(e)
 
 
 def byte(h: Column, i: Column) -> Column:
@@ -76,7 +76,7 @@ def pour(e: Column, h: Column, hexadecimal: Column, keep: Column) -> Column:
         c = F.substr(e, i, F.lit(1))
         b = byte(h, F.length(F.regexp_replace(F.substr(e, F.lit(1), i), r"[^\p{L}\p{N}]", "")))
         ring = [("0-9", 48, 10), ("a-z", 97, 26), ("A-Z", 65, 26), ("а-я", 0x430, 32), ("А-Я", 0x410, 32), ("α-ρ", 0x3B1, 17), ("Α-Ρ", 0x391, 17)]
-        out = F.when(i <= keep, c).when(hexadecimal & c.rlike("[a-f]"), F.char(97 + b % 6))
+        out = F.when(i <= keep, c).when(hexadecimal & c.rlike("[a-f]"), F.char(97 + b % 6)).when(hexadecimal & c.rlike("[A-F]"), F.char(65 + b % 6))
         for cls, base, n in ring:  # char() takes codes to 255; other scripts are looked up
             letter = F.char(base + b % n) if base < 256 else F.substr(F.lit("".join(chr(base + k) for k in range(n))), b % n + 1, F.lit(1))
             out = out.when(c.rlike(f"[{cls}]"), letter)
@@ -113,7 +113,7 @@ def surrogate(e: Column, t: Column, h: Column, key: str) -> Column:
     family = F.initcap(F.concat(*[pick(w, byte(h, F.lit(k + 2))) for k, w in enumerate([ONSET, RIME] * 3)]))
     given = F.when(rest.rlike(r"\s"), F.concat(F.when(woman, pick(GIVEN["f"], byte(h, F.lit(1)))).otherwise(pick(GIVEN["m"], byte(h, F.lit(1)))), F.regexp_extract(rest, r"\s", 0))).otherwise(F.lit(""))
     name = F.when(rest.rlike(r"^[\p{IsLatin}\s]+$"), F.concat(title, given, family)).otherwise(F.concat(title, pour(rest, h, no, F.lit(0))))
-    secret = pour(e, h, ~e.rlike("[g-zA-Z]"), F.when(e.rlike("^(AKIA|ASIA)"), 4).otherwise(0))
+    secret = pour(e, h, ~e.rlike("[g-zG-Z]"), F.when(e.rlike("^(AKIA|ASIA)"), 4).otherwise(0))
     return (
         F.when(t == "email", email).when(t == "ipv4", ip).when(t == "card", card).when(t == "phone", phone).when(t == "name", name)
         .when(t == "iban", pour(e, h, no, F.lit(2))).when(t == "id", pour(e, h, no, F.lit(0))).when(t == "secret", secret).otherwise(e)

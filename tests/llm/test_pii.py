@@ -69,3 +69,15 @@ def test_collisions_are_drawn_again(spark, docs, monkeypatch):
     new = [t.split()[1] for t in got]
     assert len(set(new)) == 6 and all(t.split()[1] == t.split()[4] for t in got)
     assert not set(new) & {f"u{i:02d}@a.example.com" for i in range(6)}
+
+
+def test_secrets_in_capitals(docs):
+    lower = "9233a8ecf7c5b09f2321bac4d15ec8f90433955b"
+    texts = [f'TOKEN = "{lower.upper()}"', f"digest {lower.upper()} and {lower}", "API_KEY=Zk39fQx81LmP Password: hunter22hunter", "AbCdEf0123456789AbCdEf0123456789"]
+    (a, n), (b, m), (c, k), (d, j) = run(docs, texts)
+    assert (n, m, k, j) == (1, 2, 2, 1) and lower.upper() not in a + b and lower not in b
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', a)
+    x, y = re.fullmatch(r"digest ([0-9A-F]{40}) and ([0-9a-f]{40})", b).groups()
+    assert x.lower() == y and x in a
+    assert re.fullmatch(r"API_KEY=[A-Z][a-z]\d\d[a-z][A-Z][a-z]\d\d[A-Z][a-z][A-Z] Password: [a-z]{6}\d\d[a-z]{6}", c) and "Zk39" not in c and "hunter" not in c
+    assert re.fullmatch(r"([A-F][a-f]){3}\d{10}([A-F][a-f]){3}\d{10}", d)
