@@ -1,4 +1,4 @@
-"""Near-duplicate documents by ProbMinHash of weighted word shingles, banding, and verification."""
+"""Near-duplicate documents by ProbMinHash of distinct word shingles, banding, and verification."""
 
 from __future__ import annotations
 
@@ -75,8 +75,8 @@ def shingles(words: list[str], k: int = WORDS) -> np.ndarray:
     return runs(word_hashes(words), min(k, len(words))) if words else np.zeros(0, np.uint64)
 
 
-def counted(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, how often, document) of lists of words, none empty, sorted by document and shingle."""
+def distinct(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, document) of lists of words, none empty, each once, sorted by document and shingle."""
     size = np.array([len(w) for w in texts])
     at = np.concatenate([[0], np.cumsum(size)])
     h = word_hashes([x for w in texts for x in w])
@@ -89,7 +89,7 @@ def counted(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     order = np.lexsort((found, own))
     found, own = found[order], own[order]
     new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (own[1:] != own[:-1])]))
-    return found[new], np.diff(np.concatenate([new, [len(found)]])), own[new]
+    return found[new], own[new]
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs: int, m: int = SIZE) -> np.ndarray:
@@ -124,10 +124,13 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, d
 
 
 def sketches(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lists of words, none empty: numbers of distinct shingles, keys of the bands (docs, BANDS), signatures in 8 bits."""
-    found, count, owner = counted(texts)
+    """Of lists of words, none empty: numbers of distinct shingles, keys of the bands (docs, BANDS), signatures in 8 bits.
+
+    All shingles weigh 1, so that signatures estimate what ``verified`` decides by, the Jaccard similarity of distinct shingles.
+    """
+    found, owner = distinct(texts)
     n = np.bincount(owner, minlength=len(texts))
-    winner = prob_minhash(found, count.astype(np.float64), owner, len(texts))
+    winner = prob_minhash(found, np.ones(len(found)), owner, len(texts))
     s = winner[:, : BANDS * ROWS].reshape(len(texts), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), BANDS))
     with np.errstate(over="ignore"):

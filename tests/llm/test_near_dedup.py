@@ -85,3 +85,19 @@ def test_signature_does_not_depend_on_the_batch():
     n, keys, sig = nd.sketches(x)
     for i in range(3):
         assert n[i] == alone[i][0][0] and (keys[i] == alone[i][1][0]).all() and (sig[i] == alone[i][2][0]).all()
+
+
+def test_repeated_passages_against_brute_force(docs):
+    r = random.Random(7)
+    rows = []
+    for g in range(6):
+        w = [f"g{g}w{i}" for i in range(1000)]
+        for k, times in enumerate((0, 1, 5, 20)):
+            x = list(w)
+            for _ in range(k * 5):
+                x[r.randrange(1000)] = f"n{r.randrange(10**6)}"
+            a = r.randrange(900)
+            rows.append((10 * g + k, " ".join(x + x[a : a + 100] * times), "a"))
+    want = truth(rows)
+    assert set(want.values()) == {0, 10, 20, 30, 40, 50}
+    assert {g.doc_id: g.component_id for g in nd.groups(docs(rows)).collect()} == want
