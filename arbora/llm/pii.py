@@ -29,6 +29,15 @@ PATTERNS = [
     rf"(?<!\p{{L}}){TITLE}\p{{Lu}}\p{{Ll}}+(?:\s\p{{Lu}}\p{{Ll}}+)?",
 ]
 ANY = "|".join(f"(?:{p})" for p in PATTERNS)
+CARD, PHONE = 6, 7
+#: Where a card number starts and ends.
+EDGES = (r"(?<![\w.+-])", r"(?![\w-])")
+#: Texts in which the card pattern may join numbers: only check digits tell what is one.
+JOINED = rf"(?=\d{{1,18}}[ -]\d){PATTERNS[CARD]}"
+#: What may start within a run of digits and is no card.
+OTHERS = "|".join(f"(?:{p})" for k, p in enumerate(PATTERNS) if k not in (2, 3, CARD))
+#: The usual shapes of cards; those of any other shape count where nothing else starts in them.
+USUAL = rf"\d(?:(?!{OTHERS})\d){{12,18}}|\d{{4}}(?:[ -](?!{OTHERS})\d{{4}}){{3}}|\d{{4}}[ -](?!{OTHERS})\d{{6}}[ -](?!{OTHERS})\d{{5}}"
 
 
 def digits(e: Column) -> Column:
@@ -45,6 +54,32 @@ def luhn_sum(d: Column, odd: int) -> Column:
     return F.when(F.length(d) > 0, F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), add)).otherwise(0)
 
 
+def valid(text: Column, shape: Column) -> Column:
+    """As alternatives of a pattern: the card numbers of right check digits of a shape, from every place of the text."""
+    every = F.regexp_extract_all(text, F.concat(F.lit(f"(?=({EDGES[0]}(?:"), shape, F.lit(f"){EDGES[1]}))")), F.lit(1))
+    right = F.filter(F.array_distinct(every), lambda c: luhn_sum(digits(c), 0) % 10 == 0)
+    return F.when(F.size(right) > 0, F.array_join(right, "|")).otherwise("(?!)")
+
+
+def patterns(text: Column) -> Column:
+    """ANY; for texts where the card pattern joins numbers, with their own card numbers in its place.
+
+    So what has a wrong check digit is no match, and is searched for whatever else starts in it. Cards of the usual shapes
+    go before those of others, and before phone numbers that run into them. Of other shapes are those in groups of four
+    digits and more, and any that begins a run of numbers and goes on as far as it may: of all windows of a table of small
+    numbers, one in ten would have a right check digit.
+    """
+    usual = valid(text, F.lit(USUAL))
+    card = F.concat(F.lit(EDGES[0] + "(?:"), usual, F.lit(f"){EDGES[1]}"))
+    free = F.concat(F.lit(f"(?!{OTHERS}|"), card, F.lit(r")\d"))
+    rest = [valid(text, F.concat(F.lit(r"\d(?:(?:(?<=\d{4})[ -](?=\d{4}))?"), free, F.lit(f"){{{n}}}"))) for n in range(18, 11, -1)]
+    rest.append(valid(text, F.concat(F.lit(r"(?<!\d[ -])\d(?:[ -]?"), free, F.lit("){12,18}"))))
+    any_card = F.concat(F.lit(EDGES[0] + "(?:"), F.concat_ws("|", usual, *rest), F.lit(f"){EDGES[1]}"))
+    phone = F.concat(F.lit(r"(?!\d{3}[ .-](?:\d{3,4}[ .-])?"), card, F.lit(f"){PATTERNS[PHONE]}"))
+    own = F.concat_ws("|", *[F.concat(F.lit("(?:"), any_card if k == CARD else phone if k == PHONE else F.lit(p), F.lit(")")) for k, p in enumerate(PATTERNS)])
+    return F.when(text.rlike(JOINED), own).otherwise(ANY)
+
+
 def kind(e: Column) -> Column:
     """Type of a match; null if it is none after all, as for a card number of a wrong check digit."""
     n = F.length(digits(e))
@@ -122,7 +157,7 @@ def surrogate(e: Column, t: Column, h: Column, key: str) -> Column:
 
 def found(text: Column) -> Column:
     """All matches, in order; an empty array where there are none, without a run of the long pattern where no character asks for it."""
-    return F.when(text.rlike(rf"[0-9@=:]|{TITLE}"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(rf"[0-9@=:]|{TITLE}"), F.regexp_extract_all(text, patterns(text), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -174,7 +209,7 @@ def replace(docs: DataFrame, key: str = "arbora") -> DataFrame:
     e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), norm(x.e, x.t).alias("n")))
     e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), digest(x.t, x.n, attempt(x), key).alias("h")))
     e = F.transform(e, lambda x: F.struct(surrogate(x.e, x.t, x.h, key).alias("to"), x.t.isNotNull().alias("is")))
-    out = docs.withColumn("__pii_new", e).withColumn("__pii_parts", F.when(F.size("__pii_new") > 0, F.split("text", ANY, -1)))
+    out = docs.withColumn("__pii_new", e).withColumn("__pii_parts", F.when(F.size("__pii_new") > 0, F.split("text", patterns(F.col("text")), -1)))
     pairs = F.transform(F.arrays_zip(F.slice("__pii_parts", 1, F.size("__pii_new")), "__pii_new"), lambda x: F.concat(x["0"], x["__pii_new"]["to"]))
     whole = F.concat(F.array_join(pairs, ""), F.element_at("__pii_parts", -1))
     out = out.withColumn("n_replaced", F.size(F.filter("__pii_new", lambda x: x["is"])).cast("long"))

@@ -81,3 +81,20 @@ def test_secrets_in_capitals(docs):
     assert x.lower() == y and x in a
     assert re.fullmatch(r"API_KEY=[A-Z][a-z]\d\d[a-z][A-Z][a-z]\d\d[A-Z][a-z][A-Z] Password: [a-z]{6}\d\d[a-z]{6}", c) and "Zk39" not in c and "hunter" not in c
     assert re.fullmatch(r"([A-F][a-f]){3}\d{10}([A-F][a-f]){3}\d{10}", d)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("2024-01-15 555-867-5309", ["555-867-5309"]), ("room 101 830-555-5433", ["830-555-5433"]), ("room 103 830-555-5433 end", ["830-555-5433"]), ("ids 1001 078-05-1120", ["078-05-1120"]),
+        ("line 12 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("line 101 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("line 1001 4111-1111-1111-1111 2027", ["4111-1111-1111-1111"]),
+        ("at 7 3782 822463 10005.", ["3782 822463 10005"]), ("at 2024-01-15 4111111111111111, 5", ["4111111111111111"]), ("n 1001 1234567890 192.168.17.4", ["192.168.17.4"]), ("n 1001 1234567890 12345@mail.com", ["12345@mail.com"]),
+        ("n 12 +1 (830) 555-5433", ["+1 (830) 555-5433"]), ("n 411111 1111111111 n", ["411111 1111111111"]), ("n 12 411111 1111111111 830", ["411111 1111111111"]), ("n 41 11 11 11 11 11 11 11", ["41 11 11 11 11 11 11 11"]), ("1 4111 1111 1111 1112 830-555-5433 078-05-1120", ["830-555-5433", "078-05-1120"]), ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", []),
+    ],
+)
+def test_a_number_before_each_kind(docs, text, found):
+    e = docs([(1, text, "a")]).select(F.explode(pii.found(F.col("text"))).alias("e")).where(pii.kind(F.col("e")).isNotNull())
+    assert [r.e for r in e.collect()] == found
+    ((new, n),) = run(docs, [text])
+    parts = re.split("|".join(map(re.escape, found)) or "(?!)", text)
+    assert n == len(found) and re.fullmatch(".+".join(map(re.escape, parts)), new) and not any(x in new for x in found)
