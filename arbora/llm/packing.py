@@ -15,15 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.common import BROADCAST_ROWS, running_base, save, small_batches, table
 from arbora.llm.tokens import encoder, slices, word_bpe
 
 WINDOW = 2048
-#: Sources beyond so many share queues, by hash.
+#: Of more sources than so many, those without a target share queues, by hash.
 MOST_QUEUES = 2000
+#: Names of the queue of null sources, and what those of shared queues start with.
+NULL, SHARED = "\U0010ffff", "\U0010fffe"
 _SAFE = 1 << 62
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -82,7 +84,16 @@ class Plan:
         return out
 
 
-def tokenized(docs: DataFrame, vocabulary: str, queues: int | None, words: int, batch_rows: int) -> DataFrame:
+def queue_of(queues: int | None, named: list[str]) -> Column:
+    """The queue of a row: its source, or one of so many shared ones where the source isn't named."""
+    source = F.col("source").cast("string")
+    if queues is not None:
+        shared = F.concat(F.lit(SHARED), F.pmod(F.hash(source), F.lit(queues)).cast("string"))
+        source = F.when(source.isin(named), source).otherwise(F.when(source.isNotNull(), shared)) if named else shared
+    return F.coalesce(source, F.lit(NULL)).alias("queue")
+
+
+def tokenized(docs: DataFrame, vocabulary: str, queue: Column, words: int, batch_rows: int) -> DataFrame:
     """Writes (doc_id, source, queue, part, at, ids): ``at`` counts the tokens of the queue before, in the same part."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +108,7 @@ def tokenized(docs: DataFrame, vocabulary: str, queues: int | None, words: int,
                     at[q] = where[-1] + len(x) // 4
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([part] * len(ids), pa.int32()), pa.array(where, pa.int64()), pa.array(np.diff(ends)), pa.array(ids, pa.binary())], ["doc_id", "source", "queue", "part", "at", "n", "ids"])
 
-    queue = F.col("source") if queues is None else F.pmod(F.hash("source"), F.lit(queues)).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(queue.cast("string"), F.lit("\U0010ffff")).alias("queue"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), queue, "text")
     return save(rows.mapInArrow(encode, "doc_id long, source string, queue string, part int, at long, n long, ids binary"), "tokens")
 
 
@@ -106,20 +116,29 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, targets: dict[s
     """Packs (doc_id, source, text) into windows of ``window`` tokens: one row for each piece of a document.
 
     targets: weights of the sources in each window (those not named: 1); by default their shares of all tokens, so that
-    every window has them all up to the end. words and batch_rows: how many words a Python worker keeps the ids of, and
+    every window has them all up to the end. Of more than MOST_QUEUES sources, those without a target share queues that
+    weigh what their sources do together; more targets than MOST_QUEUES are an error there. words and batch_rows: how many words a Python worker keeps the ids of, and
     rows it takes at a time; more of both is faster, and takes more memory. Every token is packed once; only the last window may be short.
     Null and empty texts are their end id; null sources are a queue of their own, after the others; repeated rows are
     packed as often as they stand; no rows give no rows; further columns are not read.
     """
     small_batches(docs.sparkSession, batch_rows)
-    queues = None
+    queues, named = None, [s for s in targets or () if s is not None]
     if docs.select("source").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
         queues = MOST_QUEUES
-    toks = tokenized(docs, vocabulary, queues, words, batch_rows)
+        if len(named) > MOST_QUEUES:
+            raise ValueError(f"targets for more than {MOST_QUEUES} sources")
+    toks = tokenized(docs, vocabulary, queue_of(queues, named), words, batch_rows)
     by_part = save(toks.groupBy("part", "queue").agg(F.sum("n").alias("n")), "queues")  # a source's rows meet as a row a part
-    names = sorted((r.queue, r.n) for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # at most MOST_QUEUES + 1
+    names = sorted((r.queue, r.n) for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # at most 2 * MOST_QUEUES + 1
     number = {q: k for k, (q, _) in enumerate(names)}
-    plan = Plan([n for _, n in names], None if targets is None else [targets.get(None if q == "\U0010ffff" else q, 1.0) for q, _ in names], window)
+    weights = None
+    if targets is not None:
+        together = {}
+        if queues is not None:
+            together = {r.queue: r["count"] for r in docs.select("source").distinct().select(queue_of(queues, named)).groupBy("queue").count().where(F.col("queue").startswith(SHARED)).collect()}
+        weights = [together.get(q) or targets.get(None if q == NULL else q, 1.0) for q, _ in names]
+    plan = Plan([n for _, n in names], weights, window)
     bases = running_base(by_part, ["part"], "n", "base", ["queue"]).select("part", "queue", "base")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,3 +102,15 @@ def test_empty(docs, spark, tmp_path):
     assert packing.pack(docs([]), word_bpe()).count() == 0
     path = str(tmp_path / "e.orc")
     assert token_store.digest(spark, path, token_store.write_tokens(docs([]), path, word_bpe())).count() == 0
+
+
+def test_targets_hold_among_more_sources_than_queues(docs, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_QUEUES", 4)
+    rows = [(100 * s + i, "one two three four " * 10, None if s == 9 else f"s{s}") for s in range(10) for i in range(12)]
+    ps = packing.pack(docs(rows), word_bpe(), window=200, targets={"s0": 6.0, "s1": 3.0, None: 3.0}).collect()
+    check_pieces(ps, rows, 200)
+    for seq in range(2):  # weights 6 + 3 + 3 + 7 sources of 1
+        n = {s: sum(p.length for p in ps if p.sequence_id == seq and p.source == s) for s in ("s0", "s1", None)}
+        assert abs(n["s0"] - 200 * 6 / 19) <= 3 and abs(n["s1"] - 200 * 3 / 19) <= 3 and abs(n[None] - 200 * 3 / 19) <= 3
+    with pytest.raises(ValueError, match="targets"):
+        packing.pack(docs(rows), word_bpe(), targets={f"s{s}": 1.0 for s in range(5)})
