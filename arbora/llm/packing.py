@@ -93,13 +93,13 @@ def queue_of(queues: int | None, named: list[str]) -> Column:
     return F.coalesce(source, F.lit(NULL)).alias("queue")
 
 
-def tokenized(docs: DataFrame, vocabulary: str, queue: Column, words: int, batch_rows: int) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, queue: Column) -> DataFrame:
     """Writes (doc_id, source, queue, part, at, ids): ``at`` counts the tokens of the queue before, in the same part."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at = encoder(vocabulary, words), TaskContext.get().partitionId(), {}
+        enc, part, at = encoder(vocabulary), TaskContext.get().partitionId(), {}
         for whole in batches:
-            for batch in slices(whole, 3, 3000 * batch_rows):
+            for batch in slices(whole, 3):
                 flat, ends = enc.documents(batch.column(3))
                 ids = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 where = []
@@ -112,23 +112,22 @@ def tokenized(docs: DataFrame, vocabulary: str, queue: Column, words: int, batch
     return save(rows.mapInArrow(encode, "doc_id long, source string, queue string, part int, at long, n long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, targets: dict[str | None, float] | None = None, words: int = 350_000, batch_rows: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, targets: dict[str | None, float] | None = None) -> DataFrame:
     """Packs (doc_id, source, text) into windows of ``window`` tokens: one row for each piece of a document.
 
     targets: weights of the sources in each window (those not named: 1); by default their shares of all tokens, so that
     every window has them all up to the end. Of more than MOST_QUEUES sources, those without a target share queues that
-    weigh what their sources do together; more targets than MOST_QUEUES are an error there. words and batch_rows: how many words a Python worker keeps the ids of, and
-    rows it takes at a time; more of both is faster, and takes more memory. Every token is packed once; only the last window may be short.
+    weigh what their sources do together; more targets than MOST_QUEUES are an error there. Every token is packed once; only the last window may be short.
     Null and empty texts are their end id; null sources are a queue of their own, after the others; repeated rows are
     packed as often as they stand; no rows give no rows; further columns are not read.
     """
-    small_batches(docs.sparkSession, batch_rows)
+    small_batches(docs.sparkSession)
     queues, named = None, [s for s in targets or () if s is not None]
     if docs.select("source").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
         queues = MOST_QUEUES
         if len(named) > MOST_QUEUES:
             raise ValueError(f"targets for more than {MOST_QUEUES} sources")
-    toks = tokenized(docs, vocabulary, queue_of(queues, named), words, batch_rows)
+    toks = tokenized(docs, vocabulary, queue_of(queues, named))
     by_part = save(toks.groupBy("part", "queue").agg(F.sum("n").alias("n")), "queues")  # a source's rows meet as a row a part
     names = sorted((r.queue, r.n) for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # at most 2 * MOST_QUEUES + 1
     number = {q: k for k, (q, _) in enumerate(names)}
@@ -157,4 +156,4 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, targets: dict[s
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), word_bpe(), words=500_000, batch_rows=4000)
+    return pack(table(spark, sf_dir, "documents"), word_bpe())

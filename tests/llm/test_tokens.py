@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from arbora.llm import packing, token_store
-from arbora.llm.tokens import encoder, word_bpe
+from arbora.llm.tokens import Words, encoder, word_bpe
 
 
 def expected(text):
@@ -18,14 +19,14 @@ def expected(text):
 @given(st.lists(st.text(alphabet="aZéİΣß'ts. ,!$_9²漢́̇\x1c \n<|>", max_size=30), max_size=4))
 def test_cached_words_encode_as_whole_texts(texts):
     enc = encoder(word_bpe())
-    assert enc.texts(texts) == [enc.whole(t) for t in texts]
+    assert enc.texts(texts) == [enc.whole(t).tobytes() for t in texts]
 
 
 def test_special_tokens_and_eviction():
     enc = type(encoder(word_bpe()))(word_bpe(), most=3)
     texts = ["a<|endoftext|>b Word. word's WORD--x", "one two three four five", "Word. one"]
     for _ in range(3):
-        assert enc.texts(texts) == [enc.whole(t) for t in texts]
+        assert enc.texts(texts) == [enc.whole(t).tobytes() for t in texts]
 
 
 def test_store_round_trip(spark, docs, odd, tmp_path):
@@ -114,3 +115,23 @@ def test_targets_hold_among_more_sources_than_queues(docs, monkeypatch):
         assert abs(n["s0"] - 200 * 6 / 19) <= 3 and abs(n["s1"] - 200 * 3 / 19) <= 3 and abs(n[None] - 200 * 3 / 19) <= 3
     with pytest.raises(ValueError, match="targets"):
         packing.pack(docs(rows), word_bpe(), targets={f"s{s}": 1.0 for s in range(5)})
+
+
+@pytest.mark.parametrize("most", [1, 40, 100_000])
+def test_cache_of_any_size_holds_few_words_and_changes_nothing(most):
+    enc = type(encoder(word_bpe()))(word_bpe(), most)
+    r = random.Random(most)
+    for _ in range(30):
+        words = [r.choice(["the", "of.", "x" * 300, "a,b", "3.14", "««", "..", "é,"]) if r.random() < 0.3 else f"w{r.randrange(400)}q" for _ in range(200)]
+        texts = [" ".join(words), None, "".join(words[:3]), " ".join(words[:50]).upper()]
+        assert enc.texts(texts) == [enc.whole(t or "").tobytes() for t in texts]
+        assert enc.now.count <= max(most, 2 * 260)
+
+
+def test_words_of_one_hash_are_told_apart():
+    words = Words(4)
+    h, head = np.array([9, 9, 9 + (words.mask + 1)], np.uint64), np.array([1, 2, 3], np.uint64)
+    words.put(h, head, np.array([1, 2, 1]), np.array([5, 6, 7, 8], np.uint32))
+    slot = words.find(h, head)
+    assert words.size[slot].tolist() == [1, 2, 1] and words.ids[words.first[slot]].tolist() == [5, 6, 8]
+    assert words.find(np.array([9], np.uint64), np.array([4], np.uint64)).tolist() == [-1]
