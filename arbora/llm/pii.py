@@ -9,9 +9,9 @@ from arbora.llm.common import join_small, save, table
 
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor"]
-GIVEN = {"f": ["Anna", "Clara", "Elena", "Ines", "Julia", "Laura", "Maria", "Nora"], "m": ["Adrian", "Bruno", "Daniel", "Felix", "Hugo", "Karl", "Oscar", "Pablo"]}
+NEUTRAL = ["Dr", "Prof", "Professor"]
 ONSET, RIME = ["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "br", "st", "tr"], ["a", "e", "i", "o", "u", "an", "el", "er", "in", "on", "ar", "es", "il", "or", "ut", "en"]
-TITLE = rf"(?:{'|'.join(FEMALE + MALE)})\.?\s"
+TITLE = rf"(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.?\s"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: In the order of the alternation: the first that fits where a match starts wins.
@@ -19,8 +19,9 @@ PATTERNS = [
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62}))+",
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     r"(?<=(?i:password|passwd|pwd|secret|api_key|apikey|access_key|token)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_\-]{8,}",
-    r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32,128}|(?:gh[oprsu]|github_pat|sk|xox[abprs])[_-][A-Za-z0-9_-]{16,255})(?![A-Za-z0-9])",
     rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
+    r"(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])",
     r"(?<![\w.+])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
     r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]\d{4}(?!\w)",
@@ -29,11 +30,18 @@ PATTERNS = [
     rf"(?<!\p{{L}}){TITLE}\p{{Lu}}\p{{Ll}}+(?:\s\p{{Lu}}\p{{Ll}}+)?",
 ]
 ANY = "|".join(f"(?:{p})" for p in PATTERNS)
-CARD, PHONE = 6, 7
+CARD, PHONE = 7, 8
 #: Where a card number starts and ends.
 EDGES = (r"(?<![\w.+-])", r"(?![\w-])")
 #: Texts in which the card pattern may join numbers: only check digits tell what is one.
 JOINED = rf"(?=\d{{1,18}}[ -]\d){PATTERNS[CARD]}"
+#: How the numbers of cards begin, by issuer, and how long they are.
+ISSUED = (
+    r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}"
+    r"|3(?:0[0-59]|[689]\d)\d{11,16}|35(?:2[89]|[3-8]\d)\d{12,15}|(?:50|5[6-9]|6\d)\d{11,17})$"
+)
+#: A phone number's plus sign and country code.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: What may start within a run of digits and is no card.
 OTHERS = "|".join(f"(?:{p})" for k, p in enumerate(PATTERNS) if k not in (2, 3, CARD))
 #: The usual shapes of cards; those of any other shape count where nothing else starts in them.
@@ -54,10 +62,14 @@ def luhn_sum(d: Column, odd: int) -> Column:
     return F.when(F.length(d) > 0, F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), add)).otherwise(0)
 
 
+def is_card(d: Column) -> Column:
+    return (luhn_sum(d, 0) % 10 == 0) & d.rlike(ISSUED)
+
+
 def valid(text: Column, shape: Column) -> Column:
-    """As alternatives of a pattern: the card numbers of right check digits of a shape, from every place of the text."""
+    """As alternatives of a pattern: the card numbers (right check digit, known issuer) of a shape, from every place of the text."""
     every = F.regexp_extract_all(text, F.concat(F.lit(f"(?=({EDGES[0]}(?:"), shape, F.lit(f"){EDGES[1]}))")), F.lit(1))
-    right = F.filter(F.array_distinct(every), lambda c: luhn_sum(digits(c), 0) % 10 == 0)
+    right = F.filter(F.array_distinct(every), lambda c: is_card(digits(c)))
     return F.when(F.size(right) > 0, F.array_join(right, "|")).otherwise("(?!)")
 
 
@@ -87,7 +99,8 @@ def kind(e: Column) -> Column:
         F.when(e.contains("@"), "email")
         .when(e.rlike(rf"^{TITLE}"), "name")
         .when(e.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "ipv4")
-        .when(e.rlike(r"^\d(?:[ -]?\d){12,18}$"), F.when((n >= 13) & (n <= 19) & (luhn_sum(digits(e), 0) % 10 == 0), "card").when(e.rlike(r"^\d{3}[ -]\d{3}[ -]\d{4}$"), "phone"))
+        .when(e.rlike(r"^(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$"), "ipv6")
+        .when(e.rlike(r"^\d(?:[ -]?\d){12,18}$"), F.when((n >= 13) & (n <= 19) & is_card(digits(e)), "card").when(e.rlike(r"^\d{3}[ -]\d{3}[ -]\d{4}$"), "phone"))
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "id")
         .when(e.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4})+") & ~e.rlike(r"^(AKIA|ASIA)"), "iban")
         .when(e.rlike(r"^[+(]|^\d{3}[ .-]\d{3,4}[ .-]\d{4}$"), "phone")
@@ -97,7 +110,25 @@ def kind(e: Column) -> Column:
 
 def norm(e: Column, t: Column) -> Column:
     """What two mentions of one entity share: digits, whatever their separators; letters, whatever their case."""
-    return F.when(t.isin("phone", "card", "id"), digits(e)).when(t == "email", F.lower(e)).when(t == "iban", F.regexp_replace(e, " ", "")).when(t == "name", F.regexp_replace(e, rf"^{TITLE}", "")).when(e.rlike("^[0-9a-fA-F]{32,128}$"), F.lower(e)).otherwise(e)
+    return F.when(t.isin("phone", "card", "id"), digits(e)).when(t.isin("email", "ipv6"), F.lower(e)).when(t == "iban", F.regexp_replace(e, " ", "")).when(t == "name", F.regexp_extract(e, r"\S+$", 0)).when(e.rlike("^[0-9a-fA-F]{32,128}$"), F.lower(e)).otherwise(e)
+
+
+def given(e: Column) -> Column:
+    """The given name of a mention with a title; empty where there is none."""
+    return F.regexp_extract(F.regexp_replace(e, rf"^{TITLE}", ""), r"^(\S+)\s", 1)
+
+
+def given_kind(e: Column) -> Column:
+    """A given name's kind: by the title, or by its last letter where the title tells nothing."""
+    woman = e.rlike(rf"^(?:{'|'.join(FEMALE)})\b") | (e.rlike(rf"^(?:{'|'.join(NEUTRAL)})\b") & given(e).rlike("[ae]$"))
+    return F.when(woman, "given_f").otherwise("given_m")
+
+
+def units(e: Column, t: Column) -> Column:
+    """The entities of a mention, as structs of (kind, norm, e): its own, or a family name and a given name, which are each
+    replaced alike wherever they stand, also without the other."""
+    one = F.struct(t.alias("kind"), norm(e, t).alias("norm"), F.when(t == "name", F.regexp_extract(e, r"\S+$", 0)).otherwise(e).alias("e"))
+    return F.when((t == "name") & (given(e) != ""), F.array(one, F.struct(given_kind(e).alias("kind"), given(e).alias("norm"), given(e).alias("e")))).otherwise(F.array(one))
 
 
 def byte(h: Column, i: Column) -> Column:
@@ -121,6 +152,15 @@ def pour(e: Column, h: Column, hexadecimal: Column, keep: Column) -> Column:
     return F.when(F.length(e) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), one), "")).otherwise(e)
 
 
+def mod97(x: Column) -> Column:
+    """Of a string of digits and capital letters, which count as 10 to 35."""
+    def add(acc: Column, i: Column) -> Column:
+        c = F.substr(x, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    return F.when(F.length(x) > 0, F.aggregate(F.sequence(F.lit(1), F.length(x)), F.lit(0), add)).otherwise(0)
+
+
 def pick(words: list[str], b: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), b % len(words) + 1)
 
@@ -130,8 +170,13 @@ def digest(t: Column, n: Column, attempt: Column, key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), t, n, attempt.cast("string")), 512)
 
 
-def surrogate(e: Column, t: Column, h: Column, key: str) -> Column:
-    """The replacement of e in e's own format, from its digest h."""
+def syllables(h: Column, n: Column) -> Column:
+    """A name of n syllables."""
+    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(pick(ONSET, byte(h, i * 2)), pick(RIME, byte(h, i * 2 + 1)))), ""))
+
+
+def surrogate(e: Column, t: Column, h: Column, attempt: Column, key: str) -> Column:
+    """The replacement of an entity in its own format, from its digest h. Names grow with their attempts, so that they never run out."""
     no = F.lit(False)
     domain = F.substring_index(e, "@", -1)
     host = F.regexp_replace(domain, r"(?i)\.?(?:example\.)?[\p{L}\p{N}-]+$", "")
@@ -139,19 +184,19 @@ def surrogate(e: Column, t: Column, h: Column, key: str) -> Column:
     host_h = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower(domain)), 512)
     email = F.concat(pour(F.substring_index(e, "@", 1), h, no, F.lit(0)), F.lit("@"), pour(host, host_h, no, F.lit(0)), F.substr(domain, F.length(host) + 1))
     ip = F.concat_ws(".", (byte(h, F.lit(1)) % 222 + 1).cast("string"), byte(h, F.lit(2)).cast("string"), byte(h, F.lit(3)).cast("string"), (byte(h, F.lit(4)) % 254 + 1).cast("string"))
-    body = pour(F.substr(e, F.lit(1), F.length(e) - 1), h, no, F.lit(1))
+    start = F.when(e.rlike("^(?:2|35)"), 4).otherwise(2)  # the issuer's
+    body = pour(F.substr(e, F.lit(1), F.length(e) - 1), h, no, start)
     card = F.concat(body, ((10 - luhn_sum(digits(body), 1) % 10) % 10).cast("string"))
-    phone = pour(e, h, no, F.length(F.regexp_extract(e, r"^\+\d{1,3}(?![\d])", 0)))
-    title = F.regexp_extract(e, rf"^{TITLE}", 0)
-    woman = title.rlike(rf"^(?:{'|'.join(FEMALE)})\b")
-    rest = F.regexp_replace(e, rf"^{TITLE}", "")
-    family = F.initcap(F.concat(*[pick(w, byte(h, F.lit(k + 2))) for k, w in enumerate([ONSET, RIME] * 3)]))
-    given = F.when(rest.rlike(r"\s"), F.concat(F.when(woman, pick(GIVEN["f"], byte(h, F.lit(1)))).otherwise(pick(GIVEN["m"], byte(h, F.lit(1)))), F.regexp_extract(rest, r"\s", 0))).otherwise(F.lit(""))
-    name = F.when(rest.rlike(r"^[\p{IsLatin}\s]+$"), F.concat(title, given, family)).otherwise(F.concat(title, pour(rest, h, no, F.lit(0))))
-    secret = pour(e, h, ~e.rlike("[g-zG-Z]"), F.when(e.rlike("^(AKIA|ASIA)"), 4).otherwise(0))
+    phone = pour(e, h, no, F.length(F.regexp_extract(e, COUNTRY, 0)))
+    account = pour(e, h, no, F.lit(4))
+    check = F.lpad((98 - mod97(F.concat(F.regexp_replace(F.substr(account, F.lit(5)), " ", ""), F.substr(e, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(F.substr(e, F.lit(1), F.lit(2)), check, F.substr(account, F.lit(5)))
+    ending = F.when(t == "given_f", "a").when(t == "given_m", "o").otherwise("")
+    name = F.when(e.rlike(r"^\p{IsLatin}+$"), F.concat(syllables(h, attempt + F.when(t == "name", 3).otherwise(2)), ending)).otherwise(pour(e, h, no, F.lit(0)))
+    secret = pour(e, h, ~e.rlike("[g-zG-Z]"), F.when(e.rlike("^(AKIA|ASIA)"), 4).otherwise(F.length(F.regexp_extract(e, "^(?:gh[oprsu]|github_pat|sk|xox[abprs])[_-]", 0))))
     return (
-        F.when(t == "email", email).when(t == "ipv4", ip).when(t == "card", card).when(t == "phone", phone).when(t == "name", name)
-        .when(t == "iban", pour(e, h, no, F.lit(2))).when(t == "id", pour(e, h, no, F.lit(0))).when(t == "secret", secret).otherwise(e)
+        F.when(t == "email", email).when(t == "ipv4", ip).when(t == "card", card).when(t == "phone", phone).when(t.isin("name", "given_f", "given_m"), name).when(t == "ipv6", pour(e, h, F.lit(True), F.lit(0)))
+        .when(t == "iban", iban).when(t == "id", pour(e, h, no, F.lit(0))).when(t == "secret", secret).otherwise(e)
     )
 
 
@@ -163,7 +208,8 @@ def found(text: Column) -> Column:
 def entities(docs: DataFrame) -> DataFrame:
     """The distinct (kind, norm) of a corpus with an example."""
     e = docs.select(F.explode(F.array_distinct(found(F.col("text")))).alias("e")).withColumn("kind", kind(F.col("e"))).where("kind is not null")
-    return e.withColumn("norm", norm(F.col("e"), F.col("kind"))).groupBy("kind", "norm").agg(F.min("e").alias("e"))
+    e = e.select(F.explode(units(F.col("e"), F.col("kind"))).alias("u")).select("u.*")
+    return e.groupBy("kind", "norm").agg(F.min("e").alias("e"))
 
 
 def attempts(ents: DataFrame, key: str) -> DataFrame:
@@ -173,7 +219,7 @@ def attempts(ents: DataFrame, key: str) -> DataFrame:
     """
     now = save(ents.withColumn("attempt", F.lit(0)), "entities")
     while True:
-        new = now.withColumn("h", digest(F.col("kind"), F.col("norm"), F.col("attempt"), key)).withColumn("to", surrogate(F.col("e"), F.col("kind"), F.col("h"), key))
+        new = now.withColumn("h", digest(F.col("kind"), F.col("norm"), F.col("attempt"), key)).withColumn("to", surrogate(F.col("e"), F.col("kind"), F.col("h"), F.col("attempt"), key))
         new = new.withColumn("to", norm(F.col("to"), F.col("kind")))
         twice = F.row_number().over(Window.partitionBy("kind", "to").orderBy("attempt", "norm")) > 1
         real = ents.select("kind", F.col("norm").alias("to"), F.lit(True).alias("real"))
@@ -197,23 +243,31 @@ def replace(docs: DataFrame, key: str = "arbora") -> DataFrame:
     taken = F.lit(None).cast("map<string,int>")
     if n:  # rare: the texts that hold such an entity get a map of attempts
         hits = docs.select(F.md5("text").alias("__pii_h"), F.explode(F.array_distinct(found(F.col("text")))).alias("e")).distinct().withColumn("kind", kind(F.col("e")))
-        hits = join_small(hits.withColumn("norm", norm(F.col("e"), F.col("kind"))), again, ["kind", "norm"], n)
+        hits = hits.select("__pii_h", F.explode(units(F.col("e"), F.col("kind"))).alias("u")).select("__pii_h", "u.kind", "u.norm").distinct()
+        hits = join_small(hits, again, ["kind", "norm"], n)
         hits = save(hits.groupBy("__pii_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("__pii_again")), "attempts")
         docs, taken = join_small(docs.withColumn("__pii_h", F.md5("text")), hits, ["__pii_h"], hits.count(), "left").drop("__pii_h"), F.col("__pii_again")
 
-    def attempt(x: Column) -> Column:
-        return F.coalesce(F.element_at(taken, F.concat_ws("|", x.t, x.n)), F.lit(0)) if n else F.lit(0)
+    def attempt(t: Column, m: Column) -> Column:
+        return F.coalesce(F.element_at(taken, F.concat_ws("|", t, m)), F.lit(0)) if n else F.lit(0)
+
+    def whole(x: Column) -> Column:
+        """A mention with the surrogates of its units in the place of them."""
+        to = F.transform(x.u, lambda u: surrogate(u.e, u.kind, u.h, u.attempt, key))
+        gap = F.regexp_extract(F.regexp_replace(x.e, rf"^{TITLE}", ""), r"\s", 0)
+        return F.when(x.t == "name", F.concat(F.regexp_extract(x.e, rf"^{TITLE}", 0), F.when(F.size(to) > 1, F.concat(F.element_at(to, 2), gap)).otherwise(""), F.element_at(to, 1))).otherwise(F.coalesce(F.element_at(to, 1), x.e))
 
     # each step's results are fields of the next, so that none is worked out twice
     e = F.transform(F.coalesce(found(F.col("text")), F.array().cast("array<string>")), lambda x: F.struct(x.alias("e"), kind(x).alias("t")))
-    e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), norm(x.e, x.t).alias("n")))
-    e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), digest(x.t, x.n, attempt(x), key).alias("h")))
-    e = F.transform(e, lambda x: F.struct(surrogate(x.e, x.t, x.h, key).alias("to"), x.t.isNotNull().alias("is")))
+    e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), units(x.e, x.t).alias("u")))
+    e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), F.transform(x.u, lambda u: F.struct(u.kind.alias("kind"), u.norm.alias("norm"), u.e.alias("e"), attempt(u.kind, u.norm).alias("attempt"))).alias("u")))
+    e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), F.transform(x.u, lambda u: F.struct(u.kind.alias("kind"), u.e.alias("e"), u.attempt.alias("attempt"), digest(u.kind, u.norm, u.attempt, key).alias("h"))).alias("u")))
+    e = F.transform(e, lambda x: F.struct(whole(x).alias("to"), x.t.isNotNull().alias("is")))
     out = docs.withColumn("__pii_new", e).withColumn("__pii_parts", F.when(F.size("__pii_new") > 0, F.split("text", patterns(F.col("text")), -1)))
     pairs = F.transform(F.arrays_zip(F.slice("__pii_parts", 1, F.size("__pii_new")), "__pii_new"), lambda x: F.concat(x["0"], x["__pii_new"]["to"]))
-    whole = F.concat(F.array_join(pairs, ""), F.element_at("__pii_parts", -1))
+    poured = F.concat(F.array_join(pairs, ""), F.element_at("__pii_parts", -1))
     out = out.withColumn("n_replaced", F.size(F.filter("__pii_new", lambda x: x["is"])).cast("long"))
-    out = out.withColumn("text", F.when(F.size("__pii_new") > 0, whole).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(F.size("__pii_new") > 0, poured).otherwise(F.col("text")))
     return out.select(*[c for c in docs.columns if c != "__pii_again"], "n_replaced")
 
 
