@@ -37,14 +37,24 @@ def targets(sizes: DataFrame, cap: int = MOST_COPIES) -> DataFrame:
     return w.select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.col("cap").cast("double")).alias("target"))
 
 
-def unit(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on the id alone: 48 bits of its md5."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, _h): the words of each text, and its digest, which tells rows of one id or of none apart."""
+    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), text_hash())
+
+
+def text_hash() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_h")
+
+
+def unit(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on the id and the text's digest alone: 48 bits of their md5."""
+    named = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), text)
+    return (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def ranked(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
-    """Adds what ``plan`` has for the source, the rank _q and its bucket _b to rows of (doc_id, source)."""
-    u = unit(F.col("doc_id"), seed)
+    """Adds what ``plan`` has for the source, the rank _q and its bucket _b to rows of (doc_id, source, _h)."""
+    u = unit(F.col("doc_id"), F.col("_h"), seed)
     q = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
     rows = join_small(rows.withColumn("_key", source_key()), plan, ["_key"], plan.count()).drop("_key")
     return rows.withColumn("_q", F.when(F.col("_p") > 0, q)).withColumn("_b", F.floor(F.col("_q") / (1 + F.col("_q")) * F.col("_buckets")))
@@ -56,7 +66,7 @@ def source_key() -> Column:
 
 
 def thresholds(sizes: DataFrame, seed: str = "mix:") -> DataFrame:
-    """(doc_id, source, size) -> a row for each source: what ``ranked`` needs, and the last bucket and rank that are taken.
+    """``sized`` rows -> a row for each source: what ``ranked`` needs, and the last bucket and rank that are taken.
 
     Each document is due target / source_size copies: whole ones are certain, the fraction _p is its inclusion
     probability. Documents rank by the odds of a random number over the odds of _p, and are taken by rank as long as the
@@ -100,23 +110,23 @@ def mix(docs: DataFrame, seed: str = "mix:") -> DataFrame:
     """``docs`` (doc_id, source, text and more), each row as often as the mix takes it.
 
     Null sources are one source, the last; null and empty texts have no words and come as often as their rank says; rows
-    of one doc_id share a rank; no rows give no rows; other columns are kept, whatever their names.
+    of one doc_id, or of none, rank by their texts, and those of one text, too, share a rank; no rows give no rows; other columns are kept, whatever their names.
     """
-    sizes = save(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))  # whatever their names
+    sizes = save(sized(docs), "sizes")
+    whole = docs.select("doc_id", "source", text_hash(), F.struct(*docs.columns).alias("_row"))  # whatever their names
     rows = ranked(whole, thresholds(sizes, seed), seed).withColumn("_copies", copies()).where("_copies > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = save(table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    sizes = save(sized(table(spark, sf_dir, "documents")), "sizes")
     rows = ranked(sizes, thresholds(sizes), "mix:")
     return rows.select("doc_id", "size", "source_size", "target", (copies() * F.col("size")).alias("taken"))
 
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS h FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -134,13 +144,13 @@ WITH d AS (
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS due FROM t
 ), q AS (
-  SELECT d.doc_id, d.size, d.source, p.source_size, p.target, CAST(floor(p.due) AS BIGINT) AS whole, p.due - floor(p.due) AS f,
-    (CAST(CAST('0x' || substr(md5('mix:' || CAST(d.doc_id AS VARCHAR)), 1, 12) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u
+  SELECT d.doc_id, d.size, d.h, d.source, p.source_size, p.target, CAST(floor(p.due) AS BIGINT) AS whole, p.due - floor(p.due) AS f,
+    (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.h), 1, 12) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), r AS (
   SELECT *, CASE WHEN f > 0 THEN (u / (1 - u)) / (f / (1 - f)) END AS odds, target - whole * source_size AS rest FROM q
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM r
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, h ROWS UNBOUNDED PRECEDING) AS upto FROM r
 ), g AS (
   SELECT source, coalesce(max(upto) FILTER (upto <= rest), 0) AS got FROM c GROUP BY source
 ), x AS (

@@ -38,7 +38,7 @@ def test_targets(spark, sizes):
 def test_mix_takes_near_targets(docs):
     rows = [(i, "w " * (1 + i * 7919 % 97), None if i % 50 == 0 else f"s{i % 4}") for i in range(1500)]
     d = docs(rows)
-    sizes = d.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    sizes = mixing.sized(d)
     got = mixing.ranked(sizes, mixing.thresholds(sizes), "mix:").withColumn("copies", mixing.copies()).collect()
     assert len(got) == 1500 and all(0 <= r.copies <= 3 for r in got)
     for s in {r.source for r in got}:
@@ -51,7 +51,7 @@ def test_mix_takes_near_targets(docs):
 
 def test_border_by_brute_force(docs):
     rows = [(i, "w " * (1 + i % 9), f"s{i % 2}") for i in range(200)]
-    sizes = docs(rows).select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    sizes = mixing.sized(docs(rows))
     for key, mine in _by_source(mixing.ranked(sizes, mixing.thresholds(sizes), "mix:").withColumn("copies", mixing.copies()).collect()).items():
         if not mine[0]._p:
             continue
@@ -67,6 +67,14 @@ def test_border_by_brute_force(docs):
         assert {r.doc_id: bool(r.copies - r._whole) for r in mine} == want
 
 
+def test_null_and_repeated_ids_come_near_targets(docs):
+    rows = [(None if i % 2 else i, f"t{i} " * (1 + i % 7), f"s{i % 3}") for i in range(600)] + [(9999, f"u{i} " * (1 + i % 5), "s0") for i in range(200)]
+    sizes = mixing.sized(docs(rows))
+    got = mixing.ranked(sizes, mixing.thresholds(sizes), "mix:").withColumn("copies", mixing.copies()).collect()
+    for mine in _by_source(got).values():
+        assert sum(r.copies * r["size"] for r in mine) == pytest.approx(mine[0].target, abs=8)
+
+
 def _by_source(rows):
     out = {}
     for r in rows:

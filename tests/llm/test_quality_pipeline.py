@@ -2,7 +2,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from arbora.llm import mixing, near_dedup, pii, quality
 
@@ -84,7 +83,7 @@ def test_pipeline_against_plain_steps(spark):
     assert ids(kept["pii"]) == ids(kept["near_dedup"])
     again = {r.doc_id: r.text for r in pii.replace(kept["near_dedup"]).collect()}
     assert {r.doc_id: r.text for r in kept["pii"].collect()} == again
-    sizes = kept["pii"].select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    sizes = mixing.sized(kept["pii"])
     n = {r.doc_id: r.c for r in mixing.ranked(sizes, mixing.thresholds(sizes), "mix:").withColumn("c", mixing.copies()).collect()}
     assert ids(kept["mixing"]) == sorted(i for i, k in n.items() for _ in range(k))
     pieces = c.run(spark, sf).collect()
