@@ -35,6 +35,8 @@ CARD, PHONE = 7, 8
 EDGES = (r"(?<![\w.+-])", r"(?![\w-])")
 #: Texts in which the card pattern may join numbers: only check digits tell what is one.
 JOINED = rf"(?=\d{{1,18}}[ -]\d){PATTERNS[CARD]}"
+#: Names that are made of syllables; those of other scripts are poured.
+LATIN = r"^\p{IsLatin}+$"
 #: How the numbers of cards begin, by issuer, and how long they are.
 ISSUED = (
     r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}"
@@ -175,28 +177,35 @@ def syllables(h: Column, n: Column) -> Column:
     return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(pick(ONSET, byte(h, i * 2)), pick(RIME, byte(h, i * 2 + 1)))), ""))
 
 
-def surrogate(e: Column, t: Column, h: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity in its own format, from its digest h. Names grow with their attempts, so that they never run out."""
-    no = F.lit(False)
+def shape(e: Column, t: Column) -> Column:
+    """What of an entity is poured: src, of which the first ``keep`` characters stay, in hexadecimal or not."""
+    src = F.when(t == "email", F.substring_index(e, "@", 1)).when((t == "ipv4") | (t.isin("name", "given_f", "given_m") & e.rlike(LATIN)), "").otherwise(e)
+    keep = (
+        F.when(t == "card", F.when(e.rlike("^(?:2|35)"), 4).otherwise(2))  # the issuer's
+        .when(t == "phone", F.length(F.regexp_extract(e, COUNTRY, 0))).when(t == "iban", 4)
+        .when(t == "secret", F.length(F.regexp_extract(e, "^(?:AKIA|ASIA|(?:gh[oprsu]|github_pat|sk|xox[abprs])[_-])", 0))).otherwise(0)
+    )
+    return F.struct(src.alias("src"), keep.alias("keep"), ((t == "ipv6") | ((t == "secret") & ~e.rlike("[g-zG-Z]"))).alias("hex"))
+
+
+def surrogate(e: Column, t: Column, h: Column, attempt: Column, w: Column, key: str) -> Column:
+    """The replacement of an entity in its own format, from its digest h and its poured shape w. Names grow with their
+    attempts, so that they never run out."""
     domain = F.substring_index(e, "@", -1)
     host = F.regexp_replace(domain, r"(?i)\.?(?:example\.)?[\p{L}\p{N}-]+$", "")
     host = F.when(domain.rlike(r"(?i)^example\.[a-z]+$"), F.lit("")).otherwise(host)
     host_h = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower(domain)), 512)
-    email = F.concat(pour(F.substring_index(e, "@", 1), h, no, F.lit(0)), F.lit("@"), pour(host, host_h, no, F.lit(0)), F.substr(domain, F.length(host) + 1))
+    email = F.concat(w, F.lit("@"), pour(host, host_h, F.lit(False), F.lit(0)), F.substr(domain, F.length(host) + 1))
     ip = F.concat_ws(".", (byte(h, F.lit(1)) % 222 + 1).cast("string"), byte(h, F.lit(2)).cast("string"), byte(h, F.lit(3)).cast("string"), (byte(h, F.lit(4)) % 254 + 1).cast("string"))
-    start = F.when(e.rlike("^(?:2|35)"), 4).otherwise(2)  # the issuer's
-    body = pour(F.substr(e, F.lit(1), F.length(e) - 1), h, no, start)
+    body = F.substr(w, F.lit(1), F.length(w) - 1)
     card = F.concat(body, ((10 - luhn_sum(digits(body), 1) % 10) % 10).cast("string"))
-    phone = pour(e, h, no, F.length(F.regexp_extract(e, COUNTRY, 0)))
-    account = pour(e, h, no, F.lit(4))
-    check = F.lpad((98 - mod97(F.concat(F.regexp_replace(F.substr(account, F.lit(5)), " ", ""), F.substr(e, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
-    iban = F.concat(F.substr(e, F.lit(1), F.lit(2)), check, F.substr(account, F.lit(5)))
+    check = 98 - mod97(F.concat(F.regexp_replace(F.substr(w, F.lit(5)), " ", ""), F.substr(w, F.lit(1), F.lit(2)), F.lit("00")))
+    iban = F.concat(F.substr(w, F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), F.substr(w, F.lit(5)))
     ending = F.when(t == "given_f", "a").when(t == "given_m", "o").otherwise("")
-    name = F.when(e.rlike(r"^\p{IsLatin}+$"), F.concat(syllables(h, attempt + F.when(t == "name", 3).otherwise(2)), ending)).otherwise(pour(e, h, no, F.lit(0)))
-    secret = pour(e, h, ~e.rlike("[g-zG-Z]"), F.when(e.rlike("^(AKIA|ASIA)"), 4).otherwise(F.length(F.regexp_extract(e, "^(?:gh[oprsu]|github_pat|sk|xox[abprs])[_-]", 0))))
+    name = F.concat(syllables(h, attempt + F.when(t == "name", 3).otherwise(2)), ending)
     return (
-        F.when(t == "email", email).when(t == "ipv4", ip).when(t == "card", card).when(t == "phone", phone).when(t.isin("name", "given_f", "given_m"), name).when(t == "ipv6", pour(e, h, F.lit(True), F.lit(0)))
-        .when(t == "iban", iban).when(t == "id", pour(e, h, no, F.lit(0))).when(t == "secret", secret).otherwise(e)
+        F.when(t == "email", email).when(t == "ipv4", ip).when(t == "card", card).when(t == "iban", iban)
+        .when(t.isin("name", "given_f", "given_m") & e.rlike(LATIN), name).when(t.isNull(), e).otherwise(w)
     )
 
 
@@ -219,7 +228,9 @@ def attempts(ents: DataFrame, key: str) -> DataFrame:
     """
     now = save(ents.withColumn("attempt", F.lit(0)), "entities")
     while True:
-        new = now.withColumn("h", digest(F.col("kind"), F.col("norm"), F.col("attempt"), key)).withColumn("to", surrogate(F.col("e"), F.col("kind"), F.col("h"), F.col("attempt"), key))
+        new = now.withColumn("h", digest(F.col("kind"), F.col("norm"), F.col("attempt"), key)).withColumn("s", shape(F.col("e"), F.col("kind")))
+        new = new.withColumn("w", pour(F.col("s.src"), F.col("h"), F.col("s.hex"), F.col("s.keep")))
+        new = new.withColumn("to", surrogate(F.col("e"), F.col("kind"), F.col("h"), F.col("attempt"), F.col("w"), key))
         new = new.withColumn("to", norm(F.col("to"), F.col("kind")))
         twice = F.row_number().over(Window.partitionBy("kind", "to").orderBy("attempt", "norm")) > 1
         real = ents.select("kind", F.col("norm").alias("to"), F.lit(True).alias("real"))
@@ -253,15 +264,24 @@ def replace(docs: DataFrame, key: str = "arbora") -> DataFrame:
 
     def whole(x: Column) -> Column:
         """A mention with the surrogates of its units in the place of them."""
-        to = F.transform(x.u, lambda u: surrogate(u.e, u.kind, u.h, u.attempt, key))
-        gap = F.regexp_extract(F.regexp_replace(x.e, rf"^{TITLE}", ""), r"\s", 0)
-        return F.when(x.t == "name", F.concat(F.regexp_extract(x.e, rf"^{TITLE}", 0), F.when(F.size(to) > 1, F.concat(F.element_at(to, 2), gap)).otherwise(""), F.element_at(to, 1))).otherwise(F.coalesce(F.element_at(to, 1), x.e))
+        head = F.regexp_extract(x.e, rf"^{TITLE}", 0)
+        named = F.when(F.size(x.u) > 1, F.concat(F.element_at(x.u, 2), F.regexp_extract(F.substr(x.e, F.length(head) + 1), r"\s", 0))).otherwise("")
+        return F.when(x.t == "name", F.concat(head, named, F.element_at(x.u, 1))).otherwise(F.element_at(x.u, 1))
+
+    def step(e: Column, made) -> Column:
+        """Makes anew each unit of each mention."""
+        return F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), F.transform(x.u, made).alias("u")))
+
+    def held(u: Column, *more: Column) -> Column:
+        return F.struct(u.kind.alias("kind"), u.e.alias("e"), u.attempt.alias("attempt"), *more)
 
     # each step's results are fields of the next, so that none is worked out twice
     e = F.transform(F.coalesce(found(F.col("text")), F.array().cast("array<string>")), lambda x: F.struct(x.alias("e"), kind(x).alias("t")))
     e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), units(x.e, x.t).alias("u")))
-    e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), F.transform(x.u, lambda u: F.struct(u.kind.alias("kind"), u.norm.alias("norm"), u.e.alias("e"), attempt(u.kind, u.norm).alias("attempt"))).alias("u")))
-    e = F.transform(e, lambda x: F.struct(x.e.alias("e"), x.t.alias("t"), F.transform(x.u, lambda u: F.struct(u.kind.alias("kind"), u.e.alias("e"), u.attempt.alias("attempt"), digest(u.kind, u.norm, u.attempt, key).alias("h"))).alias("u")))
+    e = step(e, lambda u: F.struct(u.kind.alias("kind"), u.norm.alias("norm"), u.e.alias("e"), attempt(u.kind, u.norm).alias("attempt")))
+    e = step(e, lambda u: held(u, digest(u.kind, u.norm, u.attempt, key).alias("h"), shape(u.e, u.kind).alias("s")))
+    e = step(e, lambda u: held(u, u.h.alias("h"), pour(u.s.src, u.h, u.s.hex, u.s.keep).alias("w")))
+    e = step(e, lambda u: surrogate(u.e, u.kind, u.h, u.attempt, u.w, key))
     e = F.transform(e, lambda x: F.struct(whole(x).alias("to"), x.t.isNotNull().alias("is")))
     out = docs.withColumn("__pii_new", e).withColumn("__pii_parts", F.when(F.size("__pii_new") > 0, F.split("text", patterns(F.col("text")), -1)))
     pairs = F.transform(F.arrays_zip(F.slice("__pii_parts", 1, F.size("__pii_new")), "__pii_new"), lambda x: F.concat(x["0"], x["__pii_new"]["to"]))
