@@ -11,8 +11,12 @@ from arbora.llm.tokens import word_bpe
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from these documents' labels, does not reject."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier, learned from these documents' labels, does not reject. Without any label, all stay;
+    null and empty texts are scored as texts without bytes; repeated rows are kept or rejected alike; no rows give none."""
+    labels = table(spark, sf_dir, "labels")
+    if not labels.where(F.col("quality").isin(0, 1)).limit(1).count():
+        return docs
+    model = quality.fit(docs, labels)
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # whatever the columns' names
     good = quality.score(plain, model, f"c{docs.columns.index('text')}").where(F.col("score") >= 0.7)
     return good.drop("score").toDF(*docs.columns)
@@ -29,12 +33,15 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for private data; null and empty texts and repeated rows as ``pii.replace`` has them."""
     return pii.replace(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; null sources are one source; see ``mixing.mix``."""
     return mixing.mix(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a window; null texts are their end id; see ``packing.pack``."""
     return packing.pack(docs, word_bpe())

@@ -91,3 +91,35 @@ def test_pipeline_against_plain_steps(spark):
 
     check_pieces(pieces, [(r.doc_id, r.text, r.source) for r in kept["mixing"].collect()], 2048)
     assert near_dedup.SIMILAR == 0.8
+
+
+def test_without_labels_all_documents_stay(spark, docs, odd, tmp_path):
+    from arbora.llm import stages
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = docs(odd)
+    assert sorted(map(str, stages.keep_good(spark, d, str(tmp_path)).collect())) == sorted(map(str, d.collect()))
+
+
+def test_forward_pass_against_plain_loops():
+    """The score of a text by loops over chunks, windows and filters."""
+    p = quality.train([b"good words here and there " * 20, b"## $$ %% && ** !! " * 30] * 4, np.array([1.0, 0.0] * 4))
+    for text in (b"", b"short", b"good words " * 40, bytes(range(256)) * 3):
+        raw = quality.padded(text)
+        starts = range(0, max(1, len(raw) // quality.HALF - 1) * quality.HALF, quality.HALF)
+        z = []
+        for a in starts:
+            best = np.zeros(quality.FILTERS)
+            for k in range(a, min(a + quality.CHUNK, len(raw)), quality.STRIDE):
+                if k + quality.WIDTH <= len(text) and k < a + quality.CHUNK:
+                    x = np.concatenate([p["e"][b] for b in text[k : k + quality.WIDTH]])
+                    best = np.maximum(best, x @ p["w"] + p["b"])
+            halves = [np.clip(len(text) - b, 0, quality.HALF) / quality.HALF for b in (a, a + quality.HALF) if b < max(len(raw), 1)]
+            m = np.append(best, sum(halves) / (2 if len(halves) == 2 else 1))
+            if len(halves) == 1:
+                m[-1] = halves[0]
+            z.append(np.maximum(m @ p["v"] + p["c"], 0) @ p["o"] + p["d"][0])
+        z = np.array(z)
+        x = np.array([z.max(), z.mean(), np.log(len(z))])
+        want = 1 / (1 + np.exp(-(p["beta"][0] + ((x - p["mean"]) / p["sd"]) @ p["beta"][1:])))
+        assert quality.probability(p, [text])[0] == pytest.approx(want, abs=2e-3)
