@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +15,20 @@ FIRST = 16
 QUERY_TILE = 512
 
 
+#: Bytes of a score as a sort key: the components are longs, so scores have 126 bits, and more for each doubling of dimensions.
+KEY = 24
+
+
+def whole_numbers(v: np.ndarray) -> np.ndarray:
+    """As Python's integers, which do not overflow."""
+    return np.array([int(x) for x in v.ravel().tolist()], object).reshape(v.shape)
+
+
 class Lists:
     """The sorted lists of a tile: for each dimension its rows by value."""
 
-    def __init__(self, tile: Tile):
-        self.ids, self.v = tile.ids, tile.vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.v = ids, vectors
         self.order = np.argsort(self.v, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.v, self.order, axis=0)
         self.n = len(self.ids)
@@ -69,6 +79,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     algorithm; of those the best k stay. Vectors that are null, empty, or hold null or non-finite components, or
     have a null vec_id, take no part; vectors of another length than the query's are no candidates; equal rows are
     candidates each, but a query's own vec_id is none; fewer candidates than k give fewer rows; none, none.
+
+    Rows and queries whose products are no exact doubles are scored in whole numbers, apart from the lists. Components
+    beyond a long stand at its ends, and so do scores; ranks go by the whole scores.
     """
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     rows = save(vectors.where(finite(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.lit(1).cast("long").alias("weight"), whole.alias("vector")), "vectors")
@@ -79,18 +92,29 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     pairs = lists.select(F.col("tile").alias("a"), "dim").join(asked.select(F.col("tile").alias("b"), "dim"), "dim").select("a", "b")
 
     def kernel(block: Tile, ask: Tile) -> dict[str, np.ndarray]:
-        lists = Lists(block)
-        out: list[list[np.ndarray]] = [[], [], []]
+        large = np.abs(block.vectors).max(axis=1) > np.sqrt(2**53 / block.vectors.shape[1])
+        usual, rest = Lists(block.ids[~large], block.vectors[~large]), whole_numbers(block.vectors[large])
+        every = None
+        out: list[tuple[int, int, int]] = []
         for own, q in zip(ask.ids.tolist(), ask.vectors, strict=True):
-            if not lists.exact(q):
-                raise OverflowError("components are too large for exact scores")
-            ids, scores = lists.top(q, own, k)
-            for part, x in zip(out, (np.full(len(ids), own, np.int64), ids, scores.astype(np.int64)), strict=True):
-                part.append(x)
-        return {c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), out, strict=True)}
-
-    found = over_pairs(pairs, lists, asked, kernel, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            ids, scores, v = [], [], rest
+            if usual.exact(q):
+                ids, scores = (x.tolist() for x in usual.top(q, own, k))
+                others = block.ids[large]
+            else:
+                every = whole_numbers(block.vectors) if every is None else every
+                others, v = block.ids, every
+            if len(others):
+                ids, scores = [*ids, *others.tolist()], [*map(int, scores), *(v @ whole_numbers(q)).tolist()]
+            best = sorted((-int(x), i) for i, x in zip(ids, scores, strict=True) if i != own)[:k]
+            out += [(own, i, -x) for x, i in best]
+        query, ids, scores = zip(*out, strict=True) if out else ((), (), ())
+        keys = [(x + (1 << (8 * KEY - 1))).to_bytes(KEY, "big") for x in scores]
+        clipped = [max(-(1 << 63), min((1 << 63) - 1, x)) for x in scores]
+        return {"query_id": np.array(query, np.int64), "vec_id": np.array(ids, np.int64), "score": np.array(clipped, np.int64), "key": pa.array(keys, pa.binary())}
+
+    found = over_pairs(pairs, lists, asked, kernel, "query_id long, vec_id long, score long, key binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -69,7 +69,7 @@ def test_threshold_stops_early():
             Counted.rows += len(key) if isinstance(key, np.ndarray) else 0
             return np.asarray(self).__getitem__(key)
 
-    lists = threshold.Lists(Tile)
+    lists = threshold.Lists(Tile.ids, Tile.vectors)
     lists.v = lists.v.view(Counted)
     ids, scores = lists.top(np.array([3.0, 0.0]), 4999, 3)
     assert ids.tolist() == [4998, 4997, 4996] and scores.tolist() == [14994.0, 14991.0, 14988.0] and 0 < Counted.rows < 100
@@ -78,3 +78,21 @@ def test_threshold_stops_early():
 def test_top_k_empty(spark):
     assert threshold.top_k(frame(spark, [])).count() == 0
     assert threshold.top_k(frame(spark, [(100, [1.0] * 4)])).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond doubles' and longs' whole numbers: exact ranks, ties to the smaller id, scores at the ends of a long."""
+    rng = np.random.default_rng(5)
+    vs = [(i, (rng.standard_normal(3) * 10.0 ** rng.choice([0, 4, 9, 14, 17])).tolist()) for i in range(1, 140)]
+    vs += [(200, [1e14, 3.0, -2.0]), (300, [1e14, 3.0, -2.0]), (400, [0.0, 0.0, 0.0]), (500, [1e300, -1e300, 0.5])]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
+    ends = lambda x: max(-(2**63), min(2**63 - 1, x))
+    # the ends of a long, as the double next to them
+    whole = {i: [int(float(ends(int(np.floor(1024 * x))))) for x in v] for i, v in vs}
+    got = {}
+    for r in threshold.top_k(df, k=10, every=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {100, 200, 300, 400, 500}
+    for q, rows in got.items():
+        s = sorted((-sum(a * b for a, b in zip(whole[q], v)), j) for j, v in whole.items() if j != q)[:10]
+        assert rows == [(j, ends(-x)) for x, j in s]
