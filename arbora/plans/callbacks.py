@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+import sys
 from dataclasses import dataclass, field
+from typing import TextIO
 
 import numpy as np
 
@@ -54,3 +56,20 @@ def printing(total: int, every: int = 100) -> Callback:
             stats = Stats()
 
     return run
+
+
+def progress(total: int, width: int = 40, every: int = 50, file: TextIO | None = None) -> Callback:
+    """A bar on ``file`` (standard error if none), drawn anew each iteration, with a report's averages each ``every``."""
+    stats, note = Stats(), ""
+
+    def run(i: int, states: list[State]) -> None:
+        nonlocal stats, note
+        stats.update(states)
+        if (i + 1) % every == 0 or i + 1 == total:
+            note, stats = " ".join(f"{k} {v:.3g}" for k, v in stats.report().items()), Stats()
+        full = width * (i + 1) // total
+        out = file or sys.stderr
+        out.write(f"\r[{'#' * full}{'-' * (width - full)}] {i + 1}/{total} {note}" + ("\n" if i + 1 == total else ""))
+        out.flush()
+
+    return run

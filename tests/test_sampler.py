@@ -1,3 +1,5 @@
+import io
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,7 +10,7 @@ from arbora.operators.binning import RangeEvenBinner
 from arbora.operators.encode import Encoder
 from arbora.compat.rlike import gbart, mc_gbart
 from arbora.compat.sklike import BARTModel, NotSampledError
-from arbora.plans import callbacks, diagnostics, prior, sampler
+from arbora.plans import callbacks, diagnostics, estimator, prior, sampler
 from arbora.plans.estimator import Bart, Sparse
 from arbora.plans.moves import Proposer, Tree
 from arbora.plans.sampler import Loop, Model, Rows, State, direct
@@ -211,12 +213,17 @@ def test_constant_response_and_predictor(data):
     d = data.withColumn("y", F.lit(3.0)).withColumn("c", F.lit(1.0))
     m = Bart(d, X, "y", **SMALL)
     assert all(abs(r.prediction[0] - 3) < 1 for r in m.predict("train").collect())
+    with pytest.raises(ValueError, match="without a cut: \\['c'\\]"):
+        Bart(d, X, "y", rm_const=False, **SMALL | {"binner": None})  # quantiles
 
 
 def test_bad_arguments(data):
     for kw in ({"y": "z", "outcome": "binary", "sigma_scale": 1.0}, {"y": "y", "outcome": "odd"}, {"y": "y", "varprob": [1, 0, 1]}):
         with pytest.raises(ValueError):
             Bart(data, X, **kw, **SMALL)
+    for kw in ({"engine": "odd"}, {"engine": "local", "callback": lambda i, s: None}):
+        with pytest.raises(ValueError):
+            Bart(data, X, "y", **kw, **SMALL)
     with pytest.raises(TypeError):
         Bart(data.withColumn("a", F.lit("x")), X, "y", **SMALL)
 
@@ -230,6 +237,24 @@ def test_callbacks(data, caplog):
     assert seen == list(range(9)) and stats.report()["effective"] == pytest.approx(3) and len(caplog.records) == 3
 
 
+def test_local_bound(data, monkeypatch):
+    """All bytes of the rows count: 240 of 48, where the bins alone are 12."""
+    monkeypatch.setattr(estimator, "LOCAL_BYTES", 240 * 47)
+    with pytest.raises(ValueError, match="11520 bytes"):
+        Bart(data, X, "y", engine="local", **SMALL)
+    assert Bart(data, X, "y", **SMALL | {"n_burn": 1, "n_save": 1}).engine == "gram"
+
+
+def test_progress_bar():
+    states = [State(Model(max_split=[5, 5], offset=[0.0], leaf_prec=[[1.0]], binary=[False], trees=2, maxdepth=3, base=0.95, power=2.0, prec_df=3.0, prec_rate=[[1.0]], prec_start=[[1.0]]), 0, 10)]
+    out = io.StringIO()
+    bar = callbacks.progress(4, width=8, every=2, file=out)
+    for i in range(4):
+        bar(i, states)
+    drawn = out.getvalue().split("\r")[1:]
+    assert [d.split("]")[0].count("#") for d in drawn] == [2, 4, 6, 8] and "3/4" in drawn[2] and "effective 2" in drawn[3] and drawn[3].endswith("\n")
+
+
 def test_r_like(data):
     kw = {"ndpost": 6, "nskip": 3, "ntree": 5, "row_id": "id", "keys": ["id"]}
     m = mc_gbart(data, X, "y", data.select("id", *X), **kw)
