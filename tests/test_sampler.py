@@ -107,6 +107,25 @@ def test_prior_is_recovered_without_data(spark, p, cuts, sparse):
         assert abs(np.mean(got) - np.mean(exact)) < 5 * se + 1e-9
 
 
+@pytest.mark.parametrize("kw", [{"rho": 3.0, "a": 0.5, "b": 1.0}, {"theta": 2.0}, {"log_s": [[0.0, -1.0, -50.0], [-50.0, 0.0, 0.0]] * 3}, {}])
+def test_weights_of_the_prior(spark, kw):
+    """The recorded weights are those that the trees were drawn with."""
+    chosen, q = prior.Selection(**kw), [0.95, 0.5, 0.0]
+    got = {r.sample: r for r in prior.sample_weights(spark, 6, 3, chosen, seed=4).collect()}
+    assert sorted(got) == list(range(6))
+    for r in prior.sample_prior(spark, 6, 1, [5] * 3, q, [1.0], seed=4, **kw).collect():
+        rng = prior.stream(4, 0, r.sample, 9)
+        theta, log_s = chosen.draw(rng, r.sample, 3)
+        assert got[r.sample].theta == theta and (got[r.sample].log_s is None) == (log_s is None)
+        assert log_s is None or got[r.sample].log_s == log_s.tolist()
+        tree = prior.grow(rng, Proposer(np.array([5] * 3), q, None), np.ones(1), log_s)
+        assert list(r.split_tree) == tree.split.tolist() and list(r.var_tree) == tree.var.tolist()
+        if "log_s" in kw:
+            assert not {2 if r.sample % 2 == 0 else 0} & {int(v) for v in tree.var[tree.split > 0]}
+    with pytest.raises(ValueError):
+        prior.Selection(theta=1.0, rho=2.0, a=1.0, b=1.0)
+
+
 def test_proposal_ranges_by_brute_force():
     rng = np.random.default_rng(2)
     who = Proposer(np.array([3, 2, 0]), [0.95, 0.5, 0.3, 0.1, 0.0], None)
