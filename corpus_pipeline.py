@@ -14,7 +14,8 @@ STAGES = [
     ("mixing", stages.mix_sources),
     ("packing", stages.pack_windows),
 ]
-#: A trained network and a signature are beyond SQL; tests/llm/test_pipeline.py checks run() against plain Python.
+#: A trained network and a signature are beyond SQL. tests/llm/test_quality_pipeline.py holds near_dedup and packing to plain
+#: Python; quality, pii and mixing to their own operators, which tests of their own cover.
 ORACLE_SQL = None
 
 
