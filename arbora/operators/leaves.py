@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.operators.trees import traverse
+from arbora.operators.trees import BROADCAST_BYTES, BYTES, leaf_index, leaf_totals
 
 
 def leaf_sums(rows: DataFrame, trace: DataFrame, weight: Column | None = None, residual: Column | None = None, between: tuple[int, int] | None = None, xb: str = "xb") -> DataFrame:
     """(chain, sample, tree, leaf, n, w, wr); ``between`` restricts it to a range of slots."""
     w = F.lit(1.0) if weight is None else weight
     r = F.lit(0.0) if residual is None else residual
-    found = traverse(rows.select(F.col(xb), w.alias("_w"), r.alias("_r")), trace, xb)
-    if between:
-        found = found.where(F.col("leaf").between(*between))
-    return found.groupBy("chain", "sample", "tree", "leaf").agg(F.count("*").alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_r")).alias("wr"))
+    found = leaf_totals(rows, trace, [w, w * r], xb).withColumnsRenamed({"v0": "w", "v1": "wr"})
+    return found.where(F.col("leaf").between(*between)) if between else found
 
 
 def leaf_gram(rows: DataFrame, trace: DataFrame, weight: Column | None = None, xb: str = "xb") -> DataFrame:
@@ -23,10 +21,9 @@ def leaf_gram(rows: DataFrame, trace: DataFrame, weight: Column | None = None, x
 
     A row's leaves are gathered in an array and paired inside the row: no join on rows, hence no key is needed.
     """
-    from arbora.operators.trees import leaf_index
-
+    small = (trace.agg(F.sum(BYTES())).first()[0] or 0) <= BROADCAST_BYTES
     forest = trace.select(F.collect_list(F.struct("tree", "var_tree", "split_tree")).alias("forest"))
-    found = rows.select(F.col(xb), (F.lit(1.0) if weight is None else weight).alias("_w")).crossJoin(F.broadcast(forest))
+    found = rows.select(F.col(xb), (F.lit(1.0) if weight is None else weight).alias("_w")).crossJoin(F.broadcast(forest) if small else forest)
     at = F.transform("forest", lambda t: F.struct(t["tree"].alias("tree"), leaf_index(F.col(xb), t["var_tree"], t["split_tree"]).alias("leaf")))
     one = found.select("_w", at.alias("at")).select("_w", "at", F.explode("at").alias("a")).select("_w", "a", F.explode("at").alias("b"))
     return one.groupBy(F.col("a.tree").alias("tree_a"), F.col("a.leaf").alias("leaf_a"), F.col("b.tree").alias("tree_b"), F.col("b.leaf").alias("leaf_b")).agg(F.count("*").alias("n"), F.sum("_w").alias("w"))

@@ -31,6 +31,10 @@ def L() -> Column:  # noqa: N802
     return F.col("leaf_tree")
 
 
+def BYTES() -> Column:  # noqa: N802
+    """Of a tree in a ``Forest``."""
+    return F.size(S()) * 8 + F.size(L()) * F.size(F.get(L(), 1)) * 8
+
 
 def depth(split: Column | None = None) -> Column:
     """Levels of a tree's heap."""
@@ -53,8 +57,18 @@ def leaf_index(xb: Column, var: Column | None = None, split: Column | None = Non
 
 
 def traverse(rows: DataFrame, trace: DataFrame, xb: str = "xb") -> DataFrame:
-    """Each row with each tree and its ``leaf`` there. The trees are the small side; for large traces see ``latent``."""
-    return rows.crossJoin(F.broadcast(trace)).withColumn("leaf", leaf_index(F.col(xb)))
+    """Each row with each tree and its ``leaf`` there; a trace of over BROADCAST_BYTES is not broadcast.
+
+    The way down is a projection for each level, which stays in code generation; ``leaf_index`` is the same as one
+    expression. For totals by leaf see ``leaf_totals``, for sums over large traces ``latent``.
+    """
+    levels, size = trace.agg(F.max(depth()), F.sum(BYTES())).first()
+    found = rows.crossJoin(F.broadcast(trace) if (size or 0) <= BROADCAST_BYTES else trace).withColumn("leaf", F.lit(1))
+    inner = F.when(F.col("leaf") < F.size(S()), F.get(S(), F.col("leaf"))).otherwise(0)
+    for _ in range(max(1, (levels or 1) - 1)):
+        found = found.withColumn("__rule", inner)
+        found = found.withColumn("leaf", F.when(F.col("__rule") == 0, F.col("leaf")).otherwise(2 * F.col("leaf") + (F.get(F.col(xb), F.get(V(), F.col("leaf"))) >= F.col("__rule")).cast("int")))
+    return found.drop("__rule")
 
 
 def evaluate(rows: DataFrame, trace: DataFrame, by: list[str], xb: str = "xb") -> DataFrame:
@@ -121,50 +135,103 @@ class Forest:
         return np.swapaxes(out, 1, 2)
 
 
+class Held:
+    """The forests of all samples in broadcasts of at most BROADCAST_BYTES, or of one sample; a task holds one of them at a time."""
+
+    def __init__(self, trace: DataFrame):
+        spark = trace.sparkSession
+        self.samples = [tuple(r) for r in trace.select("chain", "sample").distinct().orderBy("chain", "sample").collect()]
+        if not self.samples:
+            raise ValueError("the trace has no samples")
+        first = trace.where((F.col("chain") == self.samples[0][0]) & (F.col("sample") == self.samples[0][1]))
+        per = max(1, BROADCAST_BYTES // max(1, first.select(F.sum(BYTES())).first()[0]))
+        self.parts = [self.samples[g : g + per] for g in range(0, len(self.samples), per)]
+        self.forests, self.trees = [], []
+        for part in self.parts:
+            some = trace.join(F.broadcast(spark.createDataFrame(part, "chain int, sample int")), ["chain", "sample"]).orderBy("chain", "sample", "tree").collect()
+            self.trees.append(np.array([(r.chain, r.sample, r.tree) for r in some], np.int32))
+            self.forests.append(spark.sparkContext.broadcast(Forest.of(some)))
+
+    def each(self) -> Iterator[tuple[list[tuple[int, int]], Forest]]:
+        for part, b in zip(self.parts, self.forests, strict=True):
+            yield part, b.value
+            if len(self.parts) > 1 and getattr(b, "_path", None):
+                b.__dict__.pop("_value", None)  # it is read again from the worker's file
+
+
+def blocks(batches: Iterator[pa.RecordBatch], xb: int, rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches in pieces, with the bins of their rows as a matrix."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, rows):
+            batch = whole.slice(a, rows)
+            x = batch.column(xb)
+            yield batch, np.asarray(x.flatten()).reshape(len(x), -1)
+
+
 def latent(rows: DataFrame, keys: list[str], trace: DataFrame, offset: list[float], xb: str = "xb", mean: bool = False) -> DataFrame:
     """(keys, chain, sample, latent array) or, with ``mean``, (keys, latent array) averaged over samples.
 
-    The samples are broadcast in groups of at most BROADCAST_BYTES; rows are read for each group, never shuffled but
-    to average the groups' means where there is more than one.
+    Rows are read once and never shuffled, whatever the number of samples; rows of equal keys stay apart.
     """
-    spark = rows.sparkSession
-    samples = [tuple(r) for r in trace.select("chain", "sample").distinct().orderBy("chain", "sample").collect()]
-    if not samples:
-        raise ValueError("the trace has no samples")
-    first = trace.where((F.col("chain") == samples[0][0]) & (F.col("sample") == samples[0][1]))
-    size, trees = first.select((F.sum(F.size(S()) * 8 + F.size(L()) * F.size(F.get(L(), 1)) * 8)).alias("b"), F.count("*").alias("t")).first()
-    per = max(1, BROADCAST_BYTES // max(1, size))
-    out = None
-    for g in range(0, len(samples), per):
-        part = samples[g : g + per]
-        some = trace.join(F.broadcast(spark.createDataFrame(part, "chain int, sample int")), ["chain", "sample"]).orderBy("chain", "sample", "tree").collect()
-        forest = spark.sparkContext.broadcast(Forest.of(some))
-
-        def score(batches: Iterator[pa.RecordBatch], forest=forest, part=part) -> Iterator[pa.RecordBatch]:
-            f, c = forest.value, np.array(part, np.int32)
-            for whole in batches:
-                for a in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(a, 2048)
-                    x = batch.column(len(keys))
-                    z = f.sums(np.asarray(x.flatten()).reshape(len(x), -1), 1 if mean else len(part)) / (len(part) if mean else 1) + np.array(offset)
-                    n, k = len(x), z.shape[2]
-                    own = [batch.column(i) for i in range(len(keys))]
+    held = Held(trace)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = lambda z: pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, z.shape[-1], dtype=np.int32)), pa.array(z.ravel()))
+        many = len(held.parts) > 1  # forests are read anew for each block: large blocks
+        for big, bins in blocks(batches, len(keys), 1 << 20 if many else 2048):
+            total = np.zeros((len(bins), len(offset)))
+            for part, f in held.each():
+                c = np.array(part, np.int32)
+                for a in range(0, len(bins), 2048):
+                    batch, z = big.slice(a, 2048), f.sums(bins[a : a + 2048], 1 if mean else len(part))
                     if mean:
-                        cols = [pa.array(np.full(n, len(part), np.int32))]
-                    else:
-                        take = pa.array(np.tile(np.arange(n), len(part)))
-                        own, cols = [o.take(take) for o in own], [pa.array(np.repeat(c[:, i], n)) for i in (0, 1)]
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, k, dtype=np.int32)), pa.array(z.ravel()))
-                    yield pa.RecordBatch.from_arrays([*own, *cols, flat], [*keys, *(["n"] if mean else ["chain", "sample"]), "latent"])
-
-        kinds = dict(rows.dtypes)
-        schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + (", n int" if mean else ", chain int, sample int") + ", latent array<double>"
-        one = rows.select(*keys, xb).mapInArrow(score, schema)
+                        total[a : a + 2048] += z[0]
+                        continue
+                    n = batch.num_rows
+                    take = pa.array(np.tile(np.arange(n), len(part)))
+                    own = [batch.column(i).take(take) for i in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.repeat(c[:, i], n)) for i in (0, 1)), at(z + np.array(offset))], [*keys, "chain", "sample", "latent"])
+            if mean:
+                yield pa.RecordBatch.from_arrays([*(big.column(i) for i in range(len(keys))), at(total / len(held.samples) + np.array(offset))], [*keys, "latent"])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), *([] if mean else ["chain int", "sample int"]), "latent array<double>"])
+    return rows.select(*keys, xb).mapInArrow(score, schema)
+
+
+def leaf_totals(rows: DataFrame, trace: DataFrame, values: list[Column] | None = None, xb: str = "xb") -> DataFrame:
+    """(chain, sample, tree, leaf, n, v0, v1, ...): rows and sums of ``values`` (null: 0) in each slot where rows end.
+
+    A task adds up its rows in arrays of the forest's size and sends them on once; rows are read once for each
+    broadcast of forests.
+    """
+    values = values or []
+    held, k = Held(trace), len(values)
+    names = ["chain", "sample", "tree", "leaf", "n", *(f"v{j}" for j in range(k))]
+    schema = "chain int, sample int, tree int, leaf int, n long" + "".join(f", v{j} double" for j in range(k))
+    read = rows.select(F.col(xb), *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"v{j}") for j, v in enumerate(values)])
+    out = None
+    for forest, trees in zip(held.forests, held.trees, strict=True):
+
+        def add(batches: Iterator[pa.RecordBatch], forest=forest, trees=trees) -> Iterator[pa.RecordBatch]:
+            f = forest.value
+            m, width = f.leaf.shape[:2]
+            n, sums = np.zeros((m, width), np.int64), np.zeros((k, m, width))
+            for batch, bins in blocks(batches, 0, 8192):
+                v = [np.asarray(batch.column(j + 1)) for j in range(k)]
+                for t in range(m):
+                    at = f.leaves(bins, t)
+                    n[t] += np.bincount(at, minlength=width)
+                    for j in range(k):
+                        sums[j, t] += np.bincount(at, v[j], width)
+            t, at = n.nonzero()
+            for a in range(0, len(t), 100_000):
+                i, s = t[a : a + 100_000], at[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(trees[i, c]) for c in range(3)), pa.array(s.astype(np.int32)), pa.array(n[i, s]), *(pa.array(sums[j, i, s]) for j in range(k))], names)
+
+        one = read.mapInArrow(add, schema)
         out = one if out is None else out.union(one)
-    if mean and len(samples) > per:
-        k = len(offset)
-        out = out.groupBy(*keys).agg(F.array(*[F.sum(F.col("latent")[j] * F.col("n")) / F.sum("n") for j in range(k)]).alias("latent"))
-    return out.select(*keys, *([] if mean else ["chain", "sample"]), "latent")
+    return out.groupBy(*names[:4]).agg(*[F.sum(c).alias(c) for c in names[4:]])
 
 
 def nodes(trace: DataFrame) -> DataFrame:
@@ -206,7 +273,7 @@ def var_histogram(trace: DataFrame, p: int, by: list[str]) -> DataFrame:
 def points_per_node(rows: DataFrame, trace: DataFrame, parents: bool = False, xb: str = "xb") -> DataFrame:
     """(chain, sample, points, nodes): how many leaves, or parents of two leaves, hold how many rows; empty ones count."""
     key = ["chain", "sample", "tree", "node"]
-    got = traverse(rows, trace, xb).groupBy("chain", "sample", "tree", F.col("leaf").alias("node")).agg(F.count("*").alias("n"))
+    got = leaf_totals(rows, trace, xb=xb).withColumnRenamed("leaf", "node")
     every = nodes(trace)
     if parents:
         got = got.withColumn("node", F.floor(F.col("node") / 2).cast("int")).groupBy(*key).agg(F.sum("n").alias("n"))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.special import ndtr, ndtr_sql
 from arbora.operators import binning, calibrate, checks, leaves, trees
 from arbora.operators.encode import Encoder
-from arbora.plans import prior
+from arbora.plans import callbacks, diagnostics, prior
 from arbora.plans.estimator import Bart, Sparse, effective_predictors
+from arbora.plans.moves import Tree
 from arbora.sources import rtext, synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,12 +422,19 @@ def diag(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {_DIAG} SELECT chain, round(avg(sqrt(1 / CAST(prec AS DOUBLE))), 6) AS sdev, round(sqrt(avg(1 / CAST(prec AS DOUBLE))), 6) AS root_mean FROM d GROUP BY ALL")
 def error_sdev(spark, sf_dir):
-    return diag(spark).groupBy("chain").agg(r6(F.avg(F.sqrt(1 / F.col("prec")))).alias("sdev"), r6(F.sqrt(F.avg(1 / F.col("prec")))).alias("root_mean"))
+    d = diag(spark).select("chain", F.col("iter").alias("sample"), F.array("prec").alias("prec"))
+    each = diagnostics.error_sdev(d, [False]).groupBy("chain").agg(r6(F.avg("sdev")).alias("sdev"))
+    return each.join(diagnostics.error_sdev(d, [False], ["chain", "component"]).select("chain", r6(F.col("sdev")).alias("root_mean")), "chain")
 
 
-@query(f"WITH {_DIAG} SELECT chain, round(avg(grow_prop / (grow_prop + prune_prop)), 6) AS grow, round(sum(grow_acc + prune_acc) / sum(grow_prop + prune_prop), 6) AS accepted FROM d GROUP BY ALL")
+@query(f"WITH {_DIAG} SELECT chain, round(avg(grow_prop / (grow_prop + prune_prop)), 6) AS grow, round(avg((grow_acc + prune_acc) / (grow_prop + prune_prop)), 6) AS accepted FROM d GROUP BY ALL")
 def accept_rates(spark, sf_dir):
-    return diag(spark).groupBy("chain").agg(r6(F.avg(F.col("grow_prop") / (F.col("grow_prop") + F.col("prune_prop")))).alias("grow"), r6(F.sum(F.col("grow_acc") + F.col("prune_acc")) / F.sum(F.col("grow_prop") + F.col("prune_prop"))).alias("accepted"))
+    chains: dict[int, callbacks.Stats] = {}
+    for chain, _, _, *done in DIAG_ROWS:  # what a callback sees of a chain after each iteration
+        seen = SimpleNamespace(done=dict(zip(("grow_prop", "grow_acc", "prune_prop", "prune_acc"), done, strict=True)), trees=[Tree(2, 1)], varprob=lambda: np.ones(2) / 2)
+        chains.setdefault(chain, callbacks.Stats()).update([seen])
+    reports = [(c, *(x.report()[k] for k in ("grow", "accepted"))) for c, x in chains.items()]
+    return spark.createDataFrame(reports, "chain int, grow double, accepted double").select("chain", r6(F.col("grow")).alias("grow"), r6(F.col("accepted")).alias("accepted"))
 
 
 @query("WITH s AS (SELECT l_linenumber AS var, count(*) / (SELECT count(*) FROM lineitem) AS p FROM lineitem GROUP BY 1) SELECT round(exp(-sum(p * ln(p))), 6) AS effective FROM s")
@@ -435,7 +445,8 @@ def effective_number(spark, sf_dir):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey < 100 THEN 'train' ELSE 'test' END AS split FROM orders")
 def train_test_split(spark, sf_dir):
-    return t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") < 100, "train").otherwise("test").alias("split"))
+    train, test = synth.split(t(spark, sf_dir, "orders").select("o_orderkey"), 100, "o_orderkey")
+    return train.withColumn("split", F.lit("train")).union(test.withColumn("split", F.lit("test")))
 
 
 TEXT = "2 1 2\n3\n1 0 24 0\n2 0 0 1.5\n3 0 0 -2.5\n1\n1 0 0 0.25\n"

@@ -134,10 +134,40 @@ def test_latent_agrees_with_fold_and_compiled(spark):
 def test_groups_of_samples_agree(spark, monkeypatch):
     rows = q.order_rows(spark, SF)
     one = {r.o_orderkey: r.latent for r in trees.latent(rows, ["o_orderkey"], q.forest(spark), [0.0], mean=True).collect()}
+    few = q.line_rows(spark, SF).select("xb", "l_tax")
+    totals = lambda: {tuple(r[:4]): (r.n, r.v0) for r in trees.leaf_totals(few, q.forest(spark), [F.col("l_tax")]).collect()}
+    walked = lambda: {tuple(r[:4]): (r.n, pytest.approx(r.s)) for r in trees.traverse(few, q.forest(spark)).groupBy("chain", "sample", "tree", "leaf").agg(F.count("*").alias("n"), F.sum("l_tax").alias("s")).collect()}
+    assert totals() == walked()
     monkeypatch.setattr(trees, "BROADCAST_BYTES", 1)
+    assert totals() == walked()
     assert {r.o_orderkey: r.latent for r in trees.latent(rows, ["o_orderkey"], q.forest(spark), [0.0], mean=True).collect()} == {k: pytest.approx(v) for k, v in one.items()}
 
 
+def test_rows_of_equal_keys_stay_apart(spark, monkeypatch):
+    rows = q.line_rows(spark, SF).limit(50).withColumn("id", F.lit(1))
+    count = lambda: trees.latent(rows, ["id"], q.forest(spark), [0.0], mean=True).count()
+    assert count() == 50
+    monkeypatch.setattr(trees, "BROADCAST_BYTES", 1)
+    assert count() == 50
+
+
+def test_totals_of_no_rows_and_deep_trees(spark):
+    none = q.line_rows(spark, SF).limit(0)
+    assert trees.leaf_totals(none, q.forest(spark)).count() == 0 and trees.traverse(none, q.forest(spark)).count() == 0
+    r = np.random.default_rng(3)
+    var, split = r.integers(0, 3, 64).tolist(), [0, *r.integers(1, 20, 31).tolist(), *([0] * 32)]
+    deep = spark.createDataFrame([(0, 0, 0, var, split, [[float(i)] for i in range(128)])], trees.TRACE)
+    rows = spark.createDataFrame([(v.tolist(),) for v in r.integers(0, 20, (300, 3))], "xb array<int>")
+    want = {x.leaf: x.n for x in rows.crossJoin(deep).groupBy(trees.leaf_index(F.col("xb")).alias("leaf")).agg(F.count("*").alias("n")).collect()}
+    assert {x.leaf: x.n for x in trees.leaf_totals(rows, deep).collect()} == want
+    assert {x.leaf: x.n for x in trees.traverse(rows, deep).groupBy("leaf").agg(F.count("*").alias("n")).collect()} == want
+
+
+def test_erfc_of_arrays():
+    x = np.concatenate([np.linspace(-7, 26, 2001), [0.0, -40.0, 40.0]])
+    assert special._erfc(x) == pytest.approx([math.erfc(v) for v in x], rel=1e-12, abs=1e-300)
+
+
 def test_compiled_stays_in_code_generation(spark):
     rows = [r for r in q.forest(spark).collect() if r.chain == 0 and r.sample == 0]
     d = q.line_rows(spark, SF).select(trees.compiled(rows, [F.col("xb")[j] for j in range(3)]).alias("f"))
