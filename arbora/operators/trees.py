@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,12 @@ from pyspark.sql import functions as F
 TRACE = "chain int, sample int, tree int, var_tree array<int>, split_tree array<int>, leaf_tree array<array<double>>"
 #: Bytes of a forest that are sent to every executor at most; more samples are scored in groups.
 BROADCAST_BYTES = 128 << 20
+#: Trees from which on rows are dealt out evenly before they are scored: a row then costs far more than its way.
+EVEN_TREES = 1000
+#: Rules of a tree whose outcomes make the number of a table's entry, at most 8.
+MOST_RULES = 6
+#: Bytes of outcomes of rules that are kept while a block of rows is scored.
+KNOWN_BYTES = 2 << 20
 
 
 def V() -> Column:  # noqa: N802
@@ -124,14 +131,43 @@ class Forest:
 
         return at(1)
 
+    @cached_property
+    def tables(self) -> list[tuple[list[tuple[int, int]], np.ndarray] | None]:
+        """Of each tree of at most MOST_RULES rules: the rules (variable, cut), and the leaf vectors (k, 2^rules) by their outcomes as bits."""
+        out = []
+        for var, split, leaf in zip(self.var, self.split, self.leaf, strict=True):
+            inner = np.flatnonzero(split).tolist()
+            if len(inner) > MOST_RULES:
+                out.append(None)
+                continue
+            slot, cases = np.ones(1 << len(inner), np.int64), np.arange(1 << len(inner))
+            for bit, i in enumerate(inner):  # parents stand before their children
+                slot = np.where(slot == i, 2 * i + (cases >> bit & 1), slot)
+            out.append((list(zip(var[inner].tolist(), split[inner].tolist(), strict=True)), np.ascontiguousarray(leaf[slot].T)))
+        return out
+
     def sums(self, xb: np.ndarray, groups: int) -> np.ndarray:
         """(groups, n, k): sums over consecutive groups of trees."""
-        m, k = len(self.var), self.leaf.shape[2]
+        m, k, n = len(self.var), self.leaf.shape[2], len(xb)
         columns = [np.ascontiguousarray(c, np.int32) for c in xb.T]
-        out = np.zeros((groups, k, len(xb)))
-        for t in range(m):
+        out = np.zeros((groups, k, n))
+        known: dict[tuple[int, int], np.ndarray] = {}
+        for t, table in enumerate(self.tables):
+            into = out[t * groups // m]
+            if table is None:
+                for j in range(k):
+                    into[j] += self.values(columns, t, j)
+                continue
+            case = np.zeros(n, np.uint8)
+            for bit, rule in enumerate(table[0]):
+                yes = known.get(rule)
+                if yes is None:
+                    yes = (columns[rule[0]] >= rule[1]).view(np.uint8)
+                    if len(known) * n < KNOWN_BYTES:
+                        known[rule] = yes
+                case |= yes << np.uint8(bit)
             for j in range(k):
-                out[t * groups // m, j] += self.values(columns, t, j)
+                into[j] += table[1][j].take(case)
         return np.swapaxes(out, 1, 2)
 
 
@@ -168,10 +204,15 @@ def blocks(batches: Iterator[pa.RecordBatch], xb: int, rows: int) -> Iterator[tu
             yield batch, np.asarray(x.flatten()).reshape(len(x), -1)
 
 
+def dealt(rows: DataFrame, held: Held) -> DataFrame:
+    """Rows in even partitions where there are many trees: files may have fewer row groups than there are cores."""
+    return rows if rows.isStreaming or sum(map(len, held.trees)) < EVEN_TREES else rows.hint("rebalance")
+
+
 def latent(rows: DataFrame, keys: list[str], trace: DataFrame, offset: list[float], xb: str = "xb", mean: bool = False) -> DataFrame:
     """(keys, chain, sample, latent array) or, with ``mean``, (keys, latent array) averaged over samples.
 
-    Rows are read once and never shuffled, whatever the number of samples; rows of equal keys stay apart.
+    Rows are read once, whatever the number of samples, and shuffled at most to deal them out; rows of equal keys stay apart.
     """
     held = Held(trace)
 
@@ -196,7 +237,7 @@ def latent(rows: DataFrame, keys: list[str], trace: DataFrame, offset: list[floa
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), *([] if mean else ["chain int", "sample int"]), "latent array<double>"])
-    return rows.select(*keys, xb).mapInArrow(score, schema)
+    return dealt(rows.select(*keys, xb), held).mapInArrow(score, schema)
 
 
 def leaf_totals(rows: DataFrame, trace: DataFrame, values: list[Column] | None = None, xb: str = "xb") -> DataFrame:
@@ -210,6 +251,7 @@ def leaf_totals(rows: DataFrame, trace: DataFrame, values: list[Column] | None =
     names = ["chain", "sample", "tree", "leaf", "n", *(f"v{j}" for j in range(k))]
     schema = "chain int, sample int, tree int, leaf int, n long" + "".join(f", v{j} double" for j in range(k))
     read = rows.select(F.col(xb), *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"v{j}") for j, v in enumerate(values)])
+    read = dealt(read, held)
     out = None
     for forest, trees in zip(held.forests, held.trees, strict=True):
 

@@ -163,6 +163,24 @@ def test_totals_of_no_rows_and_deep_trees(spark):
     assert {x.leaf: x.n for x in trees.traverse(rows, deep).groupBy("leaf").agg(F.count("*").alias("n")).collect()} == want
 
 
+@pytest.mark.parametrize("rules", [1, 4, 6, 9])
+def test_tables_agree_with_walks(rules, monkeypatch):
+    r = np.random.default_rng(rules)
+    var, split = r.integers(0, 3, (30, 32)).astype(np.int32), np.zeros((30, 32), np.int32)
+    for row in split:
+        live = [1]
+        for _ in range(rules):
+            i = live.pop(r.integers(len(live)))
+            row[i] = r.integers(1, 20)
+            live += [x for x in (2 * i, 2 * i + 1) if x < 32]
+    f = trees.Forest(var, split, r.random((30, 64, 2)))
+    x = r.integers(0, 20, (500, 3))
+    want = [sum(f.leaf[t][f.leaves(x, t)] for t in range(g * 10, g * 10 + 10)) for g in range(3)]
+    assert np.allclose(f.sums(x, 3), want)
+    monkeypatch.setattr(trees, "KNOWN_BYTES", 0)
+    assert np.allclose(f.sums(x, 3), want)
+
+
 def test_erfc_of_arrays():
     x = np.concatenate([np.linspace(-7, 26, 2001), [0.0, -40.0, 40.0]])
     assert special._erfc(x) == pytest.approx([math.erfc(v) for v in x], rel=1e-12, abs=1e-300)
