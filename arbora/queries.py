@@ -6,15 +6,17 @@ from collections.abc import Callable
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.special import ndtr, ndtr_sql
 from arbora.operators import binning, calibrate, checks, leaves, trees
 from arbora.operators.encode import Encoder
-from arbora.plans import callbacks, diagnostics, prior
+from arbora.plans import callbacks, diagnostics, prior, sweep
 from arbora.plans.estimator import Bart, Sparse, effective_predictors
-from arbora.plans.moves import Tree
+from arbora.plans.moves import Proposer, Tree
+from arbora.plans.sampler import Rows, log_p_theta
 from arbora.sources import rtext, synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -485,6 +487,208 @@ def synthetic_rows(spark, sf_dir):
 FIT = {"num_trees": 10, "n_burn": 15, "n_save": 10, "num_chains": 2, "seed": 3}
 
 
+# the sampler's own steps, on sums over a table or on given uniforms
+
+
+def _steps(d: DataFrame, f: Callable, schema: str) -> DataFrame:
+    return d.mapInPandas(lambda it: (f(p) for p in it), schema)
+
+
+SPOT = ["chain", "sample", "tree", "leaf"]
+_SPOT = "chain int, sample int, tree int, leaf int"
+TWO, LEAF_TWO = np.array([[2.0, 0.5], [0.5, 1.0]]), np.array([[1.5, 0.3], [0.3, 1.0]])
+
+
+@query(WITH + f"SELECT chain, sample, tree, leaf, round(2.0 * wr / (1.5 + 2.0 * w) + 1 / sqrt(1.5 + 2.0 * w), 6) AS drawn FROM ({_SUMS})")
+def step_leaf_draw(spark, sf_dir):
+    one = np.array([[2.0]])
+
+    def f(p):
+        a, b = sweep.precision(one, p.w.to_numpy()[None, None]) + 1.5, sweep.score(one, p.wr.to_numpy()[None, None])
+        return p[SPOT].assign(drawn=sweep.draw(a, b, np.ones((len(p), 1)))[:, 0])
+
+    return _steps(sums(spark, sf_dir), f, _SPOT + ", drawn double").withColumn("drawn", r6(F.col("drawn")))
+
+
+_TWO = (
+    "s AS (SELECT chain, sample, tree, leaf, count(*) AS n, sum(l_extendedprice / 10000) AS c0, sum(l_tax) AS c1 FROM w GROUP BY ALL), "
+    "e AS (SELECT *, 2.0 * n + 1.5 AS a00, 0.5 * n + 0.3 AS a01, n + 1.0 AS a11, 2.0 * c0 + 0.5 * c1 AS b0, 0.5 * c0 + c1 AS b1 FROM s), "
+    "d AS (SELECT *, CAST(a00 * a11 - a01 * a01 AS DOUBLE) AS det FROM e)"
+)
+
+
+def two_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.leaf_totals(line_rows(spark, sf_dir), forest(spark), [F.col("l_extendedprice") / 10000, F.col("l_tax")])
+
+
+def two_terms(p) -> tuple[np.ndarray, np.ndarray]:
+    c = np.stack([p.v0.to_numpy(), p.v1.to_numpy()])[None]
+    return sweep.precision(TWO, p.n.to_numpy(float)[None, None]) + LEAF_TWO, sweep.score(TWO, c)
+
+
+@query(
+    WITH + f", {_TWO} SELECT chain, sample, tree, leaf, round((a11 * b0 - a01 * b1) / det + (1 - a01 / sqrt(a00) / sqrt(det / a00)) / sqrt(a00), 6) AS f0, "
+    "round((a00 * b1 - a01 * b0) / det + 1 / sqrt(det / a00), 6) AS f1 FROM d"
+)
+def step_leaf_draw_multivariate(spark, sf_dir):
+    def f(p):
+        drawn = sweep.draw(*two_terms(p), np.ones((len(p), 2)))
+        return p[SPOT].assign(f0=drawn[:, 0], f1=drawn[:, 1])
+
+    return _steps(two_sums(spark, sf_dir), f, _SPOT + ", f0 double, f1 double").select(*SPOT, r6(F.col("f0")).alias("f0"), r6(F.col("f1")).alias("f1"))
+
+
+def _pairs(d: DataFrame, names: list[str], f: Callable) -> DataFrame:
+    """The log likelihood ratio of each two sibling leaves."""
+    a, b = (d.where(F.col("leaf") % 2 == k).select(*SPOT[:3], (F.col("leaf") - k).alias("leaf"), *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in (0, 1))
+
+    def ratio(p):
+        out = []
+        for r in p.itertuples():
+            two = pd.DataFrame({c: [getattr(r, f"{c}_0"), getattr(r, f"{c}_1")] for c in names})
+            out.append(f(two))
+        return p[SPOT].assign(ratio=np.array(out, float))
+
+    return _steps(a.join(b, SPOT), ratio, _SPOT + ", ratio double").withColumn("ratio", F.round("ratio", 4))
+
+
+_EVIDENCE = "(0.5 * ({b} * {b} / {a} - ln({a})))"
+
+
+@query(
+    WITH + f", s AS (SELECT *, CAST(0.02 * w + 1.5 AS DOUBLE) AS a, 0.02 * wr AS b FROM ({_SUMS})) SELECT x.chain, x.sample, x.tree, x.leaf, round(0.5 * ln(1.5) + "
+    + _EVIDENCE.format(a="x.a", b="x.b") + " + " + _EVIDENCE.format(a="y.a", b="y.b") + " - " + _EVIDENCE.format(a="(x.a + y.a - 1.5)", b="(x.b + y.b)")
+    + ", 4) AS ratio FROM s x JOIN s y ON x.chain = y.chain AND x.sample = y.sample AND x.tree = y.tree AND x.leaf % 2 = 0 AND y.leaf = x.leaf + 1"
+)
+def step_split_ratio(spark, sf_dir):
+    one, prior = np.array([[0.02]]), np.array([[1.5]])
+
+    def f(p):
+        return sweep.split_evidence(sweep.precision(one, p.w.to_numpy()[None, None]) + prior, sweep.score(one, p.wr.to_numpy()[None, None]), 0, 1, prior)[0]
+
+    return _pairs(sums(spark, sf_dir), ["w", "wr"], f)
+
+
+_EVIDENCE_TWO = "(0.5 * (({a11} * {b0} * {b0} - 2 * {a01} * {b0} * {b1} + {a00} * {b1} * {b1}) / ({a00} * {a11} - {a01} * {a01}) - ln({a00} * {a11} - {a01} * {a01})))"
+
+
+def _two_of(form: str, **less: float) -> str:
+    return _EVIDENCE_TWO.format(**{c: form.format(c, less.get(c, 0)) for c in ("a00", "a01", "a11", "b0", "b1")})
+
+
+@query(
+    WITH + f", {_TWO} SELECT x.chain, x.sample, x.tree, x.leaf, round(0.5 * ln(1.41) + {_two_of('CAST(x.{0} AS DOUBLE)')} + {_two_of('CAST(y.{0} AS DOUBLE)')} - "
+    f"{_two_of('CAST(x.{0} + y.{0} - {1} AS DOUBLE)', a00=1.5, a01=0.3, a11=1.0)}, 4) AS ratio "
+    "FROM d x JOIN d y ON x.chain = y.chain AND x.sample = y.sample AND x.tree = y.tree AND x.leaf % 2 = 0 AND y.leaf = x.leaf + 1"
+)
+def step_split_ratio_multivariate(spark, sf_dir):
+    return _pairs(two_sums(spark, sf_dir), ["n", "v0", "v1"], lambda p: sweep.split_evidence(*two_terms(p), 0, 1, LEAF_TWO)[0])
+
+
+def heap(i: int) -> Tree:
+    """A tree of HEAPS as the sampler has it."""
+    out = Tree(3, 1)
+    out.var[:], out.split[:] = HEAPS[i][:2]
+    return out
+
+
+@query(WITH + "SELECT tree, leaf, count(*) AS n FROM w WHERE chain = 0 AND sample = 0 GROUP BY ALL")
+def step_positions(spark, sf_dir):
+    own = [heap(i) for i in range(3)]
+    slots = [x.leaves() for x in own]
+
+    def f(p):
+        at = Rows(np.arange(len(p)), np.array(p.xb.tolist()).reshape(len(p), -1), np.zeros((len(p), 1)), np.ones((len(p), 1))).positions(own, slots)
+        found = [(i, s, int(n)) for i, slot in enumerate(slots) for s, n in zip(slot, np.bincount(at[i], minlength=len(slot)), strict=True) if n]
+        return pd.DataFrame(found, columns=["tree", "leaf", "n"])
+
+    return _steps(line_rows(spark, sf_dir).select("xb"), f, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+
+
+UNIFORMS = 200
+_UNIFORMS = f"u AS (SELECT CAST(id AS INT) AS id, CAST((id + 0.5) / {UNIFORMS} AS DOUBLE) AS u1, CAST((id * 37 % {UNIFORMS} + 0.5) / {UNIFORMS} AS DOUBLE) AS u2 FROM range({UNIFORMS}) AS r(id))"
+CUTS = [50, 10, 0, 7]
+
+
+def _rules(spark: SparkSession, tree: Tree, node: int, log_s: np.ndarray | None) -> DataFrame:
+    who = Proposer(np.array(CUTS), [0.95, 0.2, 0.1, 0.0], None)
+    given = [iter(((i + 0.5) / UNIFORMS, (i * 37 % UNIFORMS + 0.5) / UNIFORMS)) for i in range(UNIFORMS)]
+    return spark.createDataFrame([(i, *who.rule(tree, node, SimpleNamespace(random=g.__next__), log_s)) for i, g in enumerate(given)], "id int, var int, cut int")
+
+
+@query(
+    f"WITH {_UNIFORMS}, v AS (SELECT *, [0, 1, 3][CAST(floor(u1 * 3) AS INT) + 1] AS var FROM u), b AS (SELECT *, CASE var WHEN 0 THEN 25 ELSE 1 END AS lo, [51, 11, 1, 8][var + 1] AS hi FROM v) "
+    "SELECT id, CAST(var AS INT) AS var, CAST(lo + floor(u2 * (hi - lo)) AS INT) AS cut FROM b"
+)
+def step_rule(spark, sf_dir):
+    """At the right child of a cut of variable 0 at 24; variable 2 has no cuts."""
+    tree = Tree(4, 1)
+    tree.split[1] = 24
+    return _rules(spark, tree, 3, None)
+
+
+@query(
+    f"WITH {_UNIFORMS}, v AS (SELECT *, CASE WHEN u1 * 0.6 < 0.5 THEN 0 ELSE 3 END AS var FROM u) "
+    "SELECT id, var, CAST(1 + floor(u2 * [50, 10, 0, 7][var + 1]) AS INT) AS cut FROM v"
+)
+def step_rule_weighted(spark, sf_dir):
+    """Where variable 1 has no cut left."""
+    tree = Tree(4, 1)
+    tree.var[1], tree.split[1] = 1, 10
+    return _rules(spark, tree, 3, np.log([0.5, 0.2, 0.2, 0.1]))
+
+
+@query(
+    f"WITH {_UNIFORMS}, q AS (SELECT 0.95 AS q0, 0.2 AS q1, 0.1 AS q2), m AS (SELECT id, tree, tree = 0 OR u2 < 0.5 AS grow, u1, q0, q1, q2 FROM u, q, range(3) AS t(tree)), "
+    "n AS (SELECT *, CASE WHEN tree = 0 THEN 1 WHEN tree = 1 THEN CASE WHEN NOT grow THEN 1 WHEN u1 < 0.5 THEN 2 ELSE 3 END "
+    "WHEN NOT grow THEN 2 WHEN u1 * (q1 + 2 * q2) < q1 THEN 3 WHEN u1 * (q1 + 2 * q2) < q1 + q2 THEN 4 ELSE 5 END AS node FROM m) "
+    "SELECT id, CAST(tree AS INT) AS tree, grow, CAST(node AS INT) AS node, round(-ln(CASE WHEN tree = 0 THEN 1.0 WHEN tree = 1 THEN CASE WHEN grow THEN 0.5 * 0.5 ELSE 1.0 END "
+    "WHEN NOT grow THEN 0.5 * q1 / (q1 + q1) WHEN node = 3 THEN 0.5 * 2 * q1 / (q1 + 2 * q2) ELSE 0.5 * q2 / (q1 + 2 * q2) END::DOUBLE), 6) + 0.0 AS log_partial FROM n"
+)
+def step_proposal(spark, sf_dir):
+    """Of a root alone, of one rule, and of two rules below one another."""
+    own = [Tree(4, 1) for _ in range(3)]
+    own[1].split[1] = own[2].split[1] = own[2].split[2] = 20
+    who, out = Proposer(np.array(CUTS), [0.95, 0.2, 0.1, 0.0], None), []
+    for i in range(UNIFORMS):
+        u = np.array([(i * 37 % UNIFORMS + 0.5) / UNIFORMS, (i + 0.5) / UNIFORMS])
+        for k, tree in enumerate(own):
+            move = who.propose(tree, SimpleNamespace(random=lambda n=None, u=u: u if n else 0.5), None)
+            out.append((i, k, move.grow, move.node, round(float(move.log_partial), 6) + 0.0))
+    return spark.createDataFrame(out, "id int, tree int, grow boolean, node int, log_partial double")
+
+
+@query(
+    WITH + ", m AS (SELECT l_extendedprice / 10000 + 0.1 * CASE WHEN x[1] >= 25 THEN 3 WHEN x[2] >= 5 THEN 5 ELSE 4 END AS y, CASE WHEN x[3] >= 4 THEN 3 ELSE 2 END AS leaf FROM r) "
+    "SELECT CAST(leaf AS INT) AS leaf, round(sum(y), 4) AS s, round((SELECT sum(y * y) FROM m), 3) AS q FROM m GROUP BY 1"
+)
+def step_residuals(spark, sf_dir):
+    """Sums of residuals by leaf of one tree, and their squares, after the leaves of another have moved by a tenth of their slots."""
+    own = [heap(i) for i in range(2)]
+    slots = [x.leaves() for x in own]
+    where = {(i, s): j for j, (i, s) in enumerate((i, s) for i, x in enumerate(slots) for s in x)}
+    d, f = line_rows(spark, sf_dir), forest(spark).where("chain = 0 and sample = 0 and tree < 2")
+    y = F.col("l_extendedprice") / 10000
+    g, s = np.zeros((len(where), len(where))), np.zeros(len(where))
+    for r in leaves.leaf_gram(d, f).collect():  # a row for each two leaves
+        g[where[r.tree_a, r.leaf_a], where[r.tree_b, r.leaf_b]] = r.n
+    for r in leaves.leaf_sums(d, f, residual=y).collect():
+        s[where[r.tree, r.leaf]] = r.wr
+    stats = sweep.Gram(np.diag(g), g[None, None], s[None, None], np.array([[d.agg(F.sum(y * y)).first()[0]]]), slots)
+    stats.move(0, 0.1 * np.array(slots[0], float)[:, None])
+    after = stats.leaf(1)[2][0, 0]
+    return spark.createDataFrame([(x, round(float(v), 4), round(float(stats.q[0, 0]), 3)) for x, v in zip(slots[1], after, strict=True)], "leaf int, s double, q double")
+
+
+@query(
+    "WITH g AS (SELECT CAST(i AS INT) AS i, CAST((i + 0.5) / 40 AS DOUBLE) AS x FROM range(40) AS r(i)), h AS (SELECT *, 3.0 * x / (1 - x) AS theta FROM g) "
+    "SELECT i, round((0.5 - 1) * ln(x) + (2.0 - 1) * ln(1 - x) + lgamma(theta) - 6 * lgamma(theta / 6) + theta / 6 * (-14.5), 6) AS log_p FROM h"
+)
+def step_theta(spark, sf_dir):
+    log_p = log_p_theta((np.arange(40) + 0.5) / 40, 3.0, 0.5, 2.0, 6, -14.5)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(log_p)], "i int, log_p double").withColumn("log_p", r6(F.col("log_p")))
+
+
 def even(d: DataFrame, f: list[str]) -> binning.Binner:
     return binning.RangeEvenBinner(d, f, 64)
 
