@@ -100,7 +100,7 @@ def _quantile_sql(table: str, column: str, bins: int) -> str:
 
 @query("WITH " + _quantile_sql("part", "p_retailprice", 64) + " SELECT CAST(k AS BIGINT) AS k, round(c, 6) AS c FROM c")
 def cut_quantile_unique(spark, sf_dir):
-    return binning.quantile_cuts(t(spark, sf_dir, "part"), "p_retailprice", 64).select("k", r6(F.col("c")).alias("c"))
+    return binning.quantile_cuts(t(spark, sf_dir, "part").select(F.lit(0).alias("j"), F.col("p_retailprice").alias("v")), 64).select("k", r6(F.col("c")).alias("c"))
 
 
 @query("WITH " + _quantile_sql("lineitem", "l_quantity", 32) + " SELECT CAST(bin AS INT) AS bin, count(*) AS n FROM (SELECT (SELECT count(*) FROM c WHERE c.c < l_quantity) AS bin FROM lineitem) GROUP BY 1")

@@ -52,6 +52,12 @@ def test_quantile_cuts(spark):
     assert binning.UniqueQuantileBinner(d, ["v"], 16).cuts[0] == pytest.approx(want)
     assert len(binning.UniqueQuantileBinner(d, ["v"], 256, max_subsample=20).cuts[0]) == 19
     assert binning.UniqueQuantileBinner(d.limit(1), ["v"], 16).cuts == [[]]
+    assert binning.UniqueQuantileBinner(d, [], 16).cuts == []
+    two = d.withColumn("u", F.when(F.col("v") < 0.5, F.col("v"))).withColumn("w", F.lit(None).cast("double"))
+    got = binning.UniqueQuantileBinner(two, ["u", "w", "v"], 16).cuts
+    assert got == [binning.UniqueQuantileBinner(two, ["u"], 16).cuts[0], [], binning.UniqueQuantileBinner(two, ["v"], 16).cuts[0]]
+    far = spark.range(50_000).select(F.col("id").cast("double").alias("v"))  # a sample by a hash's threshold is full
+    assert len(binning.UniqueQuantileBinner(far, ["v"], 2000, max_subsample=500).cuts[0]) == 499
 
 
 def test_errors_of_binners(spark):
