@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast: at some tens of bytes a row, a few MB.
 BROADCAST_ROWS = 100_000
+#: Seconds after which ``save`` calls ``release`` again.
+RELEASE_S = 15
+released = 0.0
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -26,10 +31,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back."""
     path = shared_dir(df.sparkSession, name)
+    if time.monotonic() > released + RELEASE_S:
+        release(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what is no longer referred to: the driver's heap shrinks, and Spark's cleaner deletes shuffle files and broadcasts."""
+    global released
+    gc.collect()  # Python's handles keep JVM objects alive
+    spark.sparkContext._jvm.java.lang.System.gc()
+    released = time.monotonic()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of texts that a Python worker is handed at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,6 +7,7 @@ logit of all chunks, and their number, make one probability.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,12 +164,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Weights:
-    """From documents with a label and an id of the training rows; at most ``most`` of each label come to the driver."""
+    """From documents with a label and an id of the training rows; at most ``most`` of each label, which one task learns from; only weights come to the driver."""
     have = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     few = [have.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few[0].union(few[1])), "doc_id").toPandas()
-    rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable")
-    return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["quality"].to_numpy(np.float64))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few[0].union(few[1])), "doc_id")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, t or "", k) for batch in batches for i, t, k in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+        out = io.BytesIO()
+        np.savez(out, **train([t.encode("utf-8", "replace") for _, t, _ in got], np.array([k for _, _, k in got], np.float64)))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
+
+    made = rows.select("doc_id", "text", F.col("quality").cast("int")).repartition(1).mapInArrow(learn, "model binary").collect()
+    if not made:  # no rows, no task
+        return train([], np.zeros(0))
+    with np.load(io.BytesIO(made[0].model)) as model:
+        return dict(model)
 
 
 def score(docs: DataFrame, model: Weights, text: str = "text") -> DataFrame:

@@ -1,9 +1,13 @@
+import glob
+import os
+import tempfile
+import time
 import zlib
 
 import numpy as np
 import pytest
 
-from arbora.llm import mixing, near_dedup, pii, quality
+from arbora.llm import common, mixing, near_dedup, pii, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -60,6 +64,27 @@ def test_score_of_odd_rows(docs, odd, spark):
     assert quality.score(docs([]), quality.fit(docs([]), labels.limit(0))).count() == 0
 
 
+def test_the_driver_does_not_learn(docs, spark, monkeypatch):
+    """One task learns; the driver gets weights."""
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "train", lambda texts, good: {"pid": np.array([os.getpid()]), "n": np.array([len(texts)])})
+    got = quality.fit(docs([(k, f"text {k}", "s") for k in range(5)]), labels)
+    assert got["pid"][0] != os.getpid() and got["n"][0] == 2
+
+
+def test_released_shuffles_are_deleted(spark):
+    """Garbage collection tells the cleaner; long runs of small heaps would keep their shuffles."""
+    root = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+    files = lambda: set(glob.glob(f"{root}/blockmgr-*/*/shuffle_*"))
+    before = files()
+    spark.range(1000).repartition(7, "id").write.format("noop").mode("overwrite").save()
+    made, end = files() - before, time.monotonic() + 20
+    while made & files() and time.monotonic() < end:
+        common.release(spark)
+        time.sleep(0.2)
+    assert made and not made & files()
+
+
 def test_pipeline_against_plain_steps(spark):
     import corpus_pipeline as c
     from arbora.llm.common import save
