@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.common import save, table
 from arbora.llm.components import components
-from arbora.llm.tiles import TILE, Tile, finite, over_pairs, pack
+from arbora.llm.tiles import TILE, TILE_SCHEMA, Tile, finite, over_own_pairs, pack
 
 #: Leading principal dimensions that make the grid.
 LEAD = 8
@@ -19,6 +20,8 @@ LEAD = 8
 AXES_SAMPLE = 5_000
 #: Rows at which an interval is compared rather than split.
 LEAF = 256
+#: Files of tiles up to which each tile has its own, and tiles of a file beyond: tasks are pairs of files.
+FILES, FILE_TILES = 64, 32
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -100,66 +103,80 @@ class Joiner:
         return {"id": ids, "links": links, "root": np.array([self.find(x) for x in ids.tolist()], np.int64)}
 
 
+def keyed(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows`` with a digest of 16 bytes in the place of their last column, the vector, of which it is as good as distinct."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.columns[-1]
+            flat, at = v.values.to_numpy(zero_copy_only=False) + 0.0, v.offsets.to_numpy()  # -0.0 equals 0.0
+            keys = [blake2b(flat[i:j].tobytes(), digest_size=16).digest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def join(vectors: DataFrame, cosine: float = 0.9, tile: int = TILE) -> DataFrame:
     """(vec_id, embedding) -> (vec_id, n_links, component_id, kept): pairs of a cosine of at least ``cosine`` link.
 
     Equal vectors are one row with a weight, so a vector that holds a third of all rows costs one. Distinct ones are sorted
     by the cells, eps wide, of their leading principal coordinates; tiles of that order join where their boxes in all
-    coordinates may be within eps. A pair of tiles gives counts and a spanning forest, not its links.
+    coordinates may be within eps. A pair of tiles gives counts and a spanning forest, not its links. Vectors are shuffled twice,
+    when equal ones are found and when they are sorted, and saved twice, as floats where they are floats; pairs are read, not shuffled.
     Vectors that are null, empty, zero, or hold null or non-finite components, and those of a null vec_id, have no links, and
     are their own components; only vectors of one length are compared; rows of one vec_id are vectors of their own that
     share a component if they link; no rows give no rows; other columns are not read.
     """
     eps = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     good = rows.where(finite(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
     classes = save(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "classes")
     links, forest = None, None
     for (dim,) in classes.select(F.size("v")).distinct().collect():
         mine = classes.where(F.size("v") == dim)
         sample = mine.orderBy(F.xxhash64("id")).limit(AXES_SAMPLE).select("v").toArrow()
-        turn, lead = axes(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)), min(LEAD, dim)
+        turn, lead = axes(sample.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)), min(LEAD, dim)
 
         def cells(batches: Iterator[pa.RecordBatch], turn=turn, lead=lead, dim=dim) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                     c = np.floor(unit(x) @ turn[:, :lead] / eps).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c[:, k]) for k in range(lead))], ["id", "weight", "vector", *(f"c{k}" for k in range(lead))])
 
+        def boxes(batches: Iterator[pa.RecordBatch], turn=turn, lead=lead) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                z = [unit(Tile(row).vectors) @ turn[:, :lead] for row in batch.to_pylist()]
+                sides = [pa.array([f(x, 0).tolist() for x in z], pa.list_(pa.float64())) for f in (np.min, np.max)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *sides], [*batch.schema.names, "lo", "hi"])
+
         grid = [f"c{k}" for k in range(lead)]
-        placed = save(mine.select("id", "weight", F.col("v").alias("vector")).mapInArrow(cells, "id long, weight long, vector array<double>, " + ", ".join(f"{c} int" for c in grid)), "cells")
-        order = [*grid, "id"]
-        tiles = save(pack(placed.repartitionByRange(max(1, -(-placed.count() // tile)), *order).sortWithinPartitions(*order), tile), "tiles")
+        placed = mine.select("id", "weight", F.col("v").alias("vector")).mapInArrow(cells, f"id long, weight long, vector array<{kind}>, " + ", ".join(f"{c} int" for c in grid))
+        order, n = [*grid, "id"], max(1, -(-mine.count() // tile))
+        spread = placed.repartitionByRange(max(min(n, FILES), -(-n // FILE_TILES)), *order).sortWithinPartitions(*order)
+        tiles = save(pack(spread, tile, kind).mapInArrow(boxes, TILE_SCHEMA + ", lo array<double>, hi array<double>"), "tiles")
 
-        def boxes(batches: Iterator[pa.RecordBatch], turn=turn, lead=lead, dim=dim) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    z = unit(np.frombuffer(batch.column(1)[k].as_py(), np.float64).reshape(-1, dim)) @ turn[:, :lead]
-                    yield pa.RecordBatch.from_pylist([{"tile": batch.column(0)[k].as_py(), "lo": z.min(0).tolist(), "hi": z.max(0).tolist()}])
-
-        meta = tiles.select("tile", "vectors").mapInArrow(boxes, "tile long, lo array<double>, hi array<double>")
-        meta = save(meta.withColumn("c_lo", F.floor(F.col("lo")[0] / eps)).withColumn("c_hi", F.floor(F.col("hi")[0] / eps)), "boxes")
-        a = meta.select(F.col("tile").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence("c_lo", "c_hi")).alias("cell"))
-        b = meta.select(F.col("tile").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(F.col("c_lo") - 1, F.col("c_hi") + 1)).alias("cell"))
-        gaps = F.zip_with(F.zip_with("lo_b", "hi_a", lambda x, y: x - y), F.zip_with("lo_a", "hi_b", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y))
-        near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps + 1e-9
-        found = a.join(b, "cell").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        def near(a: DataFrame, b: DataFrame) -> Column:
+            gaps = F.zip_with(F.zip_with("b_lo", "a_hi", lambda x, y: x - y), F.zip_with("a_lo", "b_hi", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y))
+            return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps + 1e-9
 
         def kernel(x: Tile, y: Tile, turn=turn) -> dict[str, np.ndarray]:
             return Joiner(x, y, turn, cosine, eps).out()
 
-        hits = save(over_pairs(found, tiles, tiles, kernel, "id long, links long, root long"), "hits")
+        hits = over_own_pairs(tiles, near, kernel, "id long, links long, root long", "hits")
         counted = hits.groupBy("id").agg(F.sum("links").alias("links"))
         linked = hits.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
         links, forest = (counted, linked) if links is None else (links.union(counted), forest.union(linked))
+    own = keyed(classes.select("id", "weight", "v"), "id long, weight long, key binary")
     if links is None:
-        own = classes.select(F.col("v"), F.col("id"), F.col("weight"), F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
+        own = own.select("key", "weight", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     else:
         comps = components(forest).withColumnRenamed("node", "id")
-        own = classes.join(links, "id", "left").join(comps, "id", "left").select("v", "id", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
+        own = own.join(links, "id", "left").join(comps, "id", "left").select("key", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
     alone = rows.where(~(finite(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull()) | F.col("v").isNull())
-    out = good.join(own, "v").select("vec_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    out = keyed(good, "vec_id long, key binary").join(own, "key").select("vec_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("component").alias("component_id"))
     out = out.union(alone.select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

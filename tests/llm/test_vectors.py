@@ -1,6 +1,11 @@
+import glob
+import os
+import pathlib
+import tempfile
+
 import numpy as np
 
-from arbora.llm import ego_join, threshold
+from arbora.llm import common, ego_join, threshold
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id int, v string"
 
@@ -36,6 +41,29 @@ def test_join_against_brute_force(spark):
         assert r.n_links == len(links.get(i, ())) and r.component_id == comp.get(i, i) and r.kept == (r.component_id == i)
 
 
+def test_pairs_of_tiles_are_not_shuffled(spark):
+    """The files under the shared folder and all shuffles are a few times the vectors, however many pairs of tiles there are."""
+    rng = np.random.default_rng(1)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((6000, 64)).astype(np.float32))])
+    df.write.parquet(path := common.shared_dir(spark, "vectors"))
+    local = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+    had = set(glob.glob(f"{local}/blockmgr-*/*/shuffle_*.data"))
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    on_disk = lambda: sum(f.stat().st_size for f in shared.rglob("*.parquet") if f.is_file())
+    before = on_disk()
+    ego_join.join(spark.read.parquet(path), tile=100).write.format("noop").mode("overwrite").save()
+    shuffled = sum(os.stat(f).st_size for f in set(glob.glob(f"{local}/blockmgr-*/*/shuffle_*.data")) - had if os.path.exists(f))
+    assert on_disk() - before + shuffled < 8 * 6000 * 64 * 4
+
+
+def test_join_of_signed_zeros_and_doubles(spark):
+    """Vectors whose zeros differ in sign are one class; components that are no floats stay exact."""
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [1.0, 0.4843221048378526]), (4, [1.0, 0.0])]  # 3 and 4 stand at 0.9 in doubles
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array(rows[2][1]) / np.linalg.norm(rows[2][1])
+    assert {r.vec_id: (r.n_links, r.component_id) for r in ego_join.join(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (int(x[0] >= 0.9), 3), 4: (int(x[0] >= 0.9), 3 if x[0] >= 0.9 else 4)}
+
+
 def test_join_empty(spark):
     assert ego_join.join(frame(spark, [])).count() == 0
     assert [r.n_links for r in ego_join.join(frame(spark, ODD[:4])).collect()] == [0] * 4
