@@ -37,9 +37,12 @@ MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-#: Where a line stands: in boilerplate by its markup, nowhere in particular, in the article.
+#: Where a line stands: in boilerplate by its markup, nowhere in particular, in an article; those of the page's k-th marked
+#: article, from 0, stand in IN + k.
 OUT, LOOSE, IN = 0, 1, 2
-#: A page is a copy of another if less than this share of its loose characters is not shared.
+#: Articles of a page that are told apart; the rest counts as one.
+ARTICLES = 1_000_000
+#: A page is a copy of another if less than this share of its body's characters is not shared.
 COPY = 0.1
 
 
@@ -62,7 +65,7 @@ def lines(html: str | None) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
     held: list[str] = []
-    html, at = html or "", 0
+    html, at, articles = html or "", 0, 0
 
     def flush() -> None:
         if held:
@@ -95,12 +98,12 @@ def lines(html: str | None) -> list[tuple[int, str]]:
                     del stack[where:]
             zone = stack[-1][1] if stack else LOOSE
             if zone != OUT:
-                if marked(name, m[4], zone == IN):
+                if marked(name, m[4], zone >= IN):
                     if name not in BREAKS:
                         flush()
                     zone = OUT
-                elif name in ARTICLE:
-                    zone = IN
+                elif name in ARTICLE and zone == LOOSE:
+                    zone, articles = IN + min(articles, ARTICLES), articles + 1
             stack.append((name, zone))
     held.append(html[at:])
     flush()
@@ -133,24 +136,30 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return [(k, k) for k in range(head)] + out[::-1] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
+def body(page: list[tuple[int, str]]) -> list[int]:
+    """The lines that differencing decides about: those of marked articles, or all loose ones where no article is marked."""
+    return [i for i, (z, _) in enumerate(page) if z >= IN] or [i for i, (z, _) in enumerate(page) if z == LOOSE]
+
+
 def main_text(page: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
-    """Deletes boilerplate and the lines shared with the other page, and joins the rest.
+    """Deletes the lines shared with the other page, in the same order, then what the markup calls boilerplate, and joins the rest.
 
-    Where a page marks its article, that is kept whole, as articles may quote each other or be copies, and what stands
-    elsewhere is none of it. Where it marks none, the lines that the other page has too, in the same order, go; but if
-    less than COPY of the page's loose characters would stay, it is a copy of the other and keeps all its loose lines.
+    If less than COPY of the body's characters would stay, the page is a copy of the other, and no line counts as shared. Where
+    articles are marked, their markup checks the lines: an article of which a line stays is whole again, as articles may quote each
+    other; one that stands in the other page as a whole, such as a teaser that all pages show, goes; and lines elsewhere are
+    in no article.
     """
-    if any(z == IN for z, _ in page):
-        return "\n\n".join(t for z, t in page if z == IN)
     shared = {i for i, _ in common([t for _, t in page], [t for _, t in other])} if other else set()
     if copied(page, shared):
         shared = set()
-    return "\n\n".join(t for k, (z, t) in enumerate(page) if z == LOOSE and k not in shared)
+    own = {page[i][0] for i in body(page) if i not in shared} - {LOOSE}
+    return "\n\n".join(page[i][1] for i in body(page) if i not in shared or page[i][0] in own)
 
 
 def copied(page: list[tuple[int, str]], shared: set[int]) -> bool:
     """Is a page whose lines ``shared`` stand in another one, too, a copy of that?"""
-    return sum(len(t) for i, (z, t) in enumerate(page) if z == LOOSE and i not in shared) < COPY * sum(len(t) for z, t in page if z == LOOSE)
+    lines = body(page)
+    return sum(len(page[i][1]) for i in lines if i not in shared) < COPY * sum(len(page[i][1]) for i in lines)
 
 
 def nearest(pages: list[tuple], step: int) -> list[int | None]:
@@ -158,15 +167,14 @@ def nearest(pages: list[tuple], step: int) -> list[int | None]:
     has lines and of which it is no copy.
 
     Where a page is a copy of another, the search goes on at that one's own find, so a large group of copies costs few
-    comparisons a page. Marked pages, which need none, and pages without loose lines have none.
+    comparisons a page. Pages without a body have none.
     """
     out: list[int | None] = [None] * len(pages)
     onward = [k + step for k in range(len(pages))]
     known: tuple[bytes, list] = (b"", [])
     for k in range(len(pages)) if step < 0 else range(len(pages) - 1, -1, -1):
         page = known[1] if known[0] == pages[k][3] else unpack(pages[k][3])
-        size = sum(len(t) for z, t in page if z == LOOSE)
-        if size and not any(z == IN for z, _ in page):
+        if body(page):
             at = k + step
             while 0 <= at < len(pages):
                 if pages[at][3] != pages[k][3]:
@@ -184,7 +192,7 @@ def nearest(pages: list[tuple], step: int) -> list[int | None]:
 
 def unpack(x: bytes) -> list[tuple[int, str]]:
     text = zlib.decompress(x).decode("utf-8", "surrogatepass")
-    return [(int(t[0]), t[1:]) for t in text.split("\n")] if text else []
+    return [(ord(t[0]) - 48, t[1:]) for t in text.split("\n")] if text else []
 
 
 def url_key(url: Column) -> list[Column]:
@@ -212,7 +220,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                packed = [zlib.compress("\n".join(f"{z}{t}" for z, t in lines(h)).encode("utf-8", "surrogatepass"), 3) for h in batch.column(4).to_pylist()]
+                packed = [zlib.compress("\n".join(chr(48 + z) + t for z, t in lines(h)).encode("utf-8", "surrogatepass"), 3) for h in batch.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], ["page_id", "url", "host", "path", "lines"])
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,17 @@ def test_articles_that_are_copies_stay(spark):
     assert [r.text for r in h.extract(pages(spark, [(i, f"http://a.org/{i}", a) for i in range(9)])).collect()] == ["the same text"] * 9
 
 
+def test_differencing_decides_about_marked_articles(spark):
+    """A marked teaser that all pages show goes; an article that quotes its neighbour's stays whole, and so do copies."""
+    page = lambda body: f"<nav>n</nav><article class=teaser><p>Read our best stories</p></article><main><p>{body}</p><p>shared quote</p></main>"
+    rows = [(k, f"http://a.org/{k}", page(f"a story of its own, number {k}")) for k in range(5)] + [(9, "http://b.org/", page("alone"))]
+    got = {r.page_id: r.text for r in h.extract(pages(spark, rows).repartition(2)).collect()}
+    assert h.main_text(h.lines(rows[0][2]), h.lines(rows[1][2])) == "a story of its own, number 0\n\nshared quote"
+    assert h.main_text(h.lines(rows[0][2]), h.lines(rows[0][2])) == "Read our best stories\n\na story of its own, number 0\n\nshared quote"
+    assert got[9] == "Read our best stories\n\nalone\n\nshared quote" and all(got[k].endswith(f"number {k}\n\nshared quote") for k in range(5))
+    assert sum(not got[k].startswith("Read") for k in range(5)) >= 2  # all but those alone in their range partition
+
+
 def longest(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
